@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, rules
+from . import exact_dedup, packing, rules, secrets
 
 QUERIES = {
     "op3_quality_rules": rules.query,
+    "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_secret_scan": secrets.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
