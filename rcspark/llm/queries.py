@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, rules, secrets
+from . import exact_dedup, packing, rules, secrets, simhash
 
 QUERIES = {
     "op3_quality_rules": rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_secret_scan": secrets.query,
+    "op9_simhash": simhash.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
