@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, rules, secrets, simhash
+from . import exact_dedup, packing, pii, rules, secrets, simhash
 
 QUERIES = {
     "op3_quality_rules": rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op8_secret_scan": secrets.query,
     "op9_simhash": simhash.query,
+    "op10_pii": pii.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
