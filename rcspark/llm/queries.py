@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, pii, rules, secrets, simhash
+from . import classifier, exact_dedup, packing, pii, rules, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_quality_classifier": classifier.query,
+    "op2_sharding": sharding.query,
     "op3_quality_rules": rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
