@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one feature of a text with a cutoff. Cutoffs aren't chosen by hand: for each stratum (language) the
-labelled documents are a holdout of which the good ones tell how often a cutoff would reject a good document. A cutoff
-is admissible if the exact (Clopper-Pearson) upper confidence bound of that rate is at most the rule's share of
-``max_false_rejection``, at a confidence corrected (Bonferroni) for all strata, rules and cutoffs that are tried. Of the
-admissible cutoffs of a rule, the one that rejects most labelled bad documents is used, the mildest on ties; a rule
-that rejects no bad one, or has no admissible cutoff, stays off in that stratum. So with probability
-``1 - delta`` no stratum loses more than ``max_false_rejection`` of its good documents to all rules together.
+Each rule compares one feature of a text with a cutoff, and a document is rejected if any rule rejects it. Cutoffs
+aren't chosen by hand. In each stratum (language) one half of the labelled documents, by hash of the id, proposes a
+path of ever stricter settings: each step lowers the cutoff of one rule, the one that rejects most further bad
+documents for the fewest good ones. The other half is the holdout. It tests the settings along the path in order: a
+setting is certified if the exact (Clopper-Pearson) upper confidence bound of the share of good documents that it
+rejects is at most ``max_false_rejection``, and the first that isn't ends the path. Testing in a fixed order needs no
+correction within a stratum; between strata the level is divided by their number (Bonferroni). So with probability
+``1 - delta`` no stratum loses more than ``max_false_rejection`` of its good documents to the rules. A stratum with
+too few labels for that keeps all rules off.
 
 The upper bound at level a is at most e exactly if P(Binomial(n, e) <= k) <= a, so no quantile has to be inverted.
 """
@@ -46,10 +48,12 @@ RULES: dict[str, tuple[float, ...]] = {
 @dataclass(frozen=True)
 class Risk:
     """max_false_rejection: the share of a stratum's good documents that all rules together may reject;
-    delta: the probability that any stratum exceeds it; max_strata: strata beyond the broadcast size use a join."""
+    delta: the probability that any stratum exceeds it; price: bad documents that a step must reject for each good
+    one; max_strata: with more, the cutoffs are joined by shuffle instead of being broadcast."""
 
-    max_false_rejection: float = 0.02
+    max_false_rejection: float = 0.05
     delta: float = 0.05
+    price: float = 10.0
     max_strata: int = 10_000
 
 
@@ -143,63 +147,79 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def choose_cutoffs(counts: pd.DataFrame, n_strata: int, risk: Risk, rules: dict[str, tuple[float, ...]]) -> pd.DataFrame:
-    """counts: (stratum, rule, level, good, n), level being how many of the rule's cutoffs the document exceeds.
-
-    Returns (stratum, rule, cutoff, good_n, good_rejected, bad_n, bad_rejected) of the rules that are on."""
-    level_bound = risk.max_false_rejection / len(rules)
-    alpha = risk.delta / (max(n_strata, 1) * sum(map(len, rules.values())))
-    found = []
-    for (stratum, rule), part in counts.groupby(["stratum", "rule"], dropna=False, sort=True):
-        cutoffs = rules[rule]
-        by = {g: np.bincount(p.level, weights=p.n, minlength=len(cutoffs) + 1).astype(np.int64) for g, p in part.groupby("good")}
-        good, bad = (by.get(g, np.zeros(len(cutoffs) + 1, np.int64)) for g in (True, False))
-        above_good, above_bad = (x[::-1].cumsum()[::-1][1:] for x in (good, bad))  # rejected by cutoff i
-        fit = [
-            (int(above_bad[i]), i)
-            for i in range(len(cutoffs))
-            if above_bad[i] > 0 and binomial_tail(int(above_good[i]), int(good.sum()), level_bound) <= alpha
-        ]
-        if fit:
-            _, i = max(fit)
-            found.append((stratum, rule, cutoffs[i], int(good.sum()), int(above_good[i]), int(bad.sum()), int(above_bad[i])))
-    return pd.DataFrame(found, columns=["stratum", "rule", "cutoff", "good_n", "good_rejected", "bad_n", "bad_rejected"])
+def propose(levels: np.ndarray, good: np.ndarray, n: np.ndarray, n_cutoffs: list[int], price: float) -> list[list[int]]:
+    """The path: from each setting to the next, one rule's cutoff index falls. A setting rejects the rows with a level
+    above the index in any rule; an index of n_cutoffs is off. Ties go to the earlier rule, then the milder cutoff."""
+    at, path = list(n_cutoffs), []
+    gone = np.zeros(len(levels), bool)
+    while True:
+        best = (0.0, None)
+        for r in range(len(at)):
+            for c in range(at[r] - 1, -1, -1):
+                more = (levels[:, r] > c) & ~gone
+                gain = float(n[more & ~good].sum()) - price * float(n[more & good].sum())
+                if gain > best[0]:
+                    best = (gain, (r, c))
+        if best[1] is None:
+            return path
+        r, c = best[1]
+        at[r] = c
+        gone |= levels[:, r] > c
+        path.append(list(at))
+
+
+def certify(path: list[list[int]], levels: np.ndarray, good: np.ndarray, n: np.ndarray, bound: float, alpha: float) -> list[int] | None:
+    """The last setting before the first that the holdout doesn't certify."""
+    held, total = None, int(n[good].sum())
+    for setting in path:
+        rejected = (levels > np.array(setting)).any(1)
+        if binomial_tail(int(n[rejected & good].sum()), total, bound) > alpha:
+            break
+        held = setting
+    return held
+
+
+def choose_cutoffs(counts: pd.DataFrame, n_strata: int, risk: Risk, rules: dict[str, tuple[float, ...]]) -> dict[str, float] | None:
+    """counts, of one stratum: (levels, good, holdout, n), levels being how many cutoffs of each rule are exceeded."""
+    levels = np.array(counts["levels"].tolist(), np.int64).reshape(len(counts), len(rules))
+    order = np.lexsort(levels.T)
+    levels, good, holdout, n = levels[order], counts["good"].to_numpy(bool)[order], counts["holdout"].to_numpy(bool)[order], counts["n"].to_numpy(np.int64)[order]
+    path = propose(levels[~holdout], good[~holdout], n[~holdout], [len(c) for c in rules.values()], risk.price)
+    held = certify(path, levels[holdout], good[holdout], n[holdout], risk.max_false_rejection, risk.delta / max(n_strata, 1))
+    return held and {r: c[i] for (r, c), i in zip(rules.items(), held, strict=True) if i < len(c)}
 
 
 def thresholds(
     feats: DataFrame, labels: DataFrame, stratum_col: str, id_col: str = "doc_id", risk: Risk = Risk(), rules: dict | None = None
 ) -> DataFrame:
-    """The cutoffs in force, one row per stratum: (stratum, n_strata, one nullable double per rule).
+    """The cutoffs in force, one row per stratum that has any: (stratum, one nullable double ``cut_<rule>`` per rule).
 
     ``feats`` has the rules' features beside id and stratum; ``labels`` has (id, quality), 1 for good, and may repeat
-    an id (each label then counts), lack ids or hold nulls (these labels are ignored). All labels are used. What is
-    sent on is one row per stratum, rule, cutoff and label value; strata are handled apart.
+    an id (each label then counts), lack ids or hold nulls (these labels are ignored). All labels are used. What a
+    stratum's task gets is one row per combination of levels, not per document.
     """
     rules = rules or RULES
     labelled = feats.filter(~base_failed()).join(
         labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("label_id"), (F.col("quality") > 0).alias("good")),
         F.col(id_col) == F.col("label_id"),
     )
-    levels = F.array(*[
-        F.struct(F.lit(rule).alias("rule"), sum((F.col(rule) > F.lit(c)).cast("int") for c in cutoffs).alias("level"))
-        for rule, cutoffs in rules.items()
-    ])
+    levels = F.array(*[sum((F.col(rule) > F.lit(c)).cast("int") for c in cutoffs) for rule, cutoffs in rules.items()])
     counts = (
-        labelled.select(F.col(stratum_col).cast("string").alias("stratum"), "good", F.explode(levels).alias("x"))
-        .groupBy("stratum", "x.rule", "x.level", "good")
+        labelled.select(F.col(stratum_col).cast("string").alias("stratum"), levels.alias("levels"), "good", (F.pmod(F.xxhash64(id_col), F.lit(2)) == 1).alias("holdout"))
+        .groupBy("stratum", "levels", "good", "holdout")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     counts = common.materialize(counts, "rules")
     n_strata = counts.select("stratum").distinct().count()
 
     def per_stratum(pdf: pd.DataFrame) -> pd.DataFrame:
-        return choose_cutoffs(pdf, n_strata, risk, rules)
+        found = choose_cutoffs(pdf, n_strata, risk, rules)
+        if not found:
+            return pd.DataFrame({"stratum": pd.Series([], dtype=object)} | {f"cut_{r}": pd.Series([], dtype=float) for r in rules})
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]]} | {f"cut_{r}": [found.get(r, np.nan)] for r in rules})
 
-    found = counts.groupBy("stratum").applyInPandas(
-        per_stratum, "stratum string, rule string, cutoff double, good_n long, good_rejected long, bad_n long, bad_rejected long"
-    )
-    wide = found.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules])
-    return wide.withColumn("n_strata", F.lit(n_strata))
+    wide = counts.groupBy("stratum").applyInPandas(per_stratum, "stratum string, " + ", ".join(f"cut_{r} double" for r in rules))
+    return wide.select("stratum", *[F.nanvl(f"cut_{r}", F.lit(None).cast("double")).alias(f"cut_{r}") for r in rules])
 
 
 def judge(
