@@ -37,10 +37,11 @@ _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     """Encodes by white-space separated chunks, each of them once while it is cached.
 
-    Exact for tokenizers that split at white space before merging: no token and no normalisation spans it.
+    Exact for tokenizers that lower-case, split at white space and between letters and other characters, and then
+    merge: no token and no normalisation spans two chunks, or a word and the point or comma after it.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,21 +50,49 @@ class WordTokenizer:
         self.cache_size = cache_size
         self.cache: dict[bytes, bytes] = {}
 
-    def encode(self, raw: bytes) -> bytes:
-        """The ids of ``raw`` as little-endian unsigned 32-bit numbers."""
-        chunks = raw.split()
-        found = list(map(self.cache.get, chunks))
-        if None in found:
-            new = list({c for c, x in zip(chunks, found, strict=True) if x is None})
-            if len(self.cache) + len(new) > self.cache_size:
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Adds the ids of chunks to the cache."""
+        cache, model = self.cache, self.tokenizer.model
+        marked = [c for c in chunks if c[-1:] in (b".", b",") and len(c) > 1 and 97 <= c[-2] <= 122]
+        chunks.difference_update(marked)
+        chunks.update(c for c in {c[:-1] for c in marked} | {c[-1:] for c in marked} if c not in cache)
+        rest = []
+        for c in chunks:
+            if c.isalpha():  # ASCII letters: nothing to normalise or split
+                cache[c] = np.array([t.id for t in model.tokenize(c.decode())], "<u4").tobytes()
+            else:
+                rest.append(c)
+        if rest:
+            done = self.tokenizer.encode([c.decode("utf-8", "replace") for c in rest], is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(done.ids, "<u4"), np.array(done.word_ids, np.int64)
+            ends = np.searchsorted(owner, np.arange(len(rest)), "right")
+            at = 0
+            for c, end in zip(rest, ends, strict=True):
+                cache[c] = ids[at:end].tobytes()
+                at = end
+        for c in marked:
+            cache[c] = cache[c[:-1]] + cache[c[-1:]]
+
+    def encode_all(self, texts: list[bytes], budget: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; about ``budget`` bytes are looked up at once."""
+        at = 0
+        while at < len(texts):
+            chunks, size = [], 0
+            while at < len(texts) and (not chunks or size < budget):
+                chunks.append(texts[at].lower().split())
+                size += len(texts[at])
+                at += 1
+            if len(self.cache) > self.cache_size:
                 self.cache.clear()
-            texts = [c.decode("utf-8", "replace") for c in new]
-            ids = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, ids, strict=True)}
-            if len(fresh) < self.cache_size:
-                self.cache.update(fresh)
-            found = [fresh[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
-        return b"".join(found)
+            new: set[bytes] = set()
+            for c in chunks:
+                new.update(c)
+            new = new.difference(self.cache)
+            if new:
+                self._learn(new)
+            get = self.cache.__getitem__
+            for c in chunks:
+                yield b"".join(map(get, c))
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -191,10 +220,10 @@ def pack(
         part = TaskContext.get().partitionId()
         rows: list[tuple] = []
         packer = Packer(capacity, open_windows, _first_id(0, part), lambda p, s, o: rows.append(_row(p, s, o, with_ids)))
-        encode = word_tokenizer(tokenizer).encode
+        encode_all = word_tokenizer(tokenizer).encode_all
         for batch in it:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(raw.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 packer.place(doc_id, 0, len(ids) // 4, ids)
             yield _batch(rows)
             rows.clear()
