@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, exact_dedup, packing, pii, rules, secrets, sharding, simhash
+from . import classifier, exact_dedup, lm, packing, pii, rules, secrets, sharding, simhash
 
 QUERIES = {
     "op1_quality_classifier": classifier.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": rules.query,
     "op5_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_lm_scoring": lm.query,
     "op8_secret_scan": secrets.query,
     "op9_simhash": simhash.query,
     "op10_pii": pii.query,
