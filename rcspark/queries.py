@@ -649,13 +649,13 @@ def _rk4_sql() -> str:
         return f"(10.0 * ({y} - {x}))", f"({x} * (28.0 - {z}) - {y})", f"({x} * {y} - (8.0::DOUBLE / 3) * {z})"
 
     stages, names = [], ("x", "y", "z")
-    for i, (prev, h) in enumerate((("", 0), ("a", "0.01"), ("b", "0.01"), ("c", "0.02"))):
+    for i, (prev, h) in enumerate((("", 0), ("k1", "0.01"), ("k2", "0.01"), ("k3", "0.02"))):
         at = [f"({n} + {h} * {prev}{n})" if prev else n for n in names]
-        stages.append(", ".join(f"{r} AS {'abcd'[i]}{n}" for r, n in zip(rate(*at), names, strict=True)))
+        stages.append(", ".join(f"{r} AS k{i + 1}{n}" for r, n in zip(rate(*at), names, strict=True)))
     inner = "l"
     for st in stages:
         inner = f"(SELECT *, {st} FROM {inner})"
-    new = ", ".join(f"{n} + 0.02::DOUBLE / 6 * (a{n} + 2 * b{n} + 2 * c{n} + d{n})" for n in names)
+    new = ", ".join(f"{n} + 0.02::DOUBLE / 6 * (k1{n} + 2 * k2{n} + 2 * k3{n} + k4{n})" for n in names)
     first = "SELECT unnest(range(3))::BIGINT AS seg_id, 0::BIGINT AS t, 1 + unnest(range(3)) / 10.0::DOUBLE AS x, 1.0::DOUBLE AS y, 1.0::DOUBLE AS z"
     return f"WITH RECURSIVE l AS ({first} UNION ALL SELECT seg_id, t + 1, {new} FROM {inner} WHERE t < 99) SELECT seg_id, t, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM l"
 
