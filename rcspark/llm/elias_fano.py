@@ -86,14 +86,17 @@ class EliasFano:
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
         low = x & np.uint64((1 << self.low_bits) - 1)
         i, end = self._bucket(h), self._bucket(h + 1)
+        to = end.copy()
+        open_ = np.flatnonzero(i < to)
+        while len(open_):  # binary search among the numbers with these high bits: there may be many
+            mid = (i[open_] + to[open_]) >> 1
+            below = self._lows(mid) < low[open_]
+            i[open_[below]] = mid[below] + 1
+            to[open_[~below]] = mid[~below]
+            open_ = open_[i[open_] < to[open_]]
         equal = np.zeros(len(x), bool)
-        open_ = np.flatnonzero(i < end)
-        while len(open_):
-            have = self._lows(i[open_])
-            equal[open_] = have == low[open_]
-            open_ = open_[have < low[open_]]
-            i[open_] += 1
-            open_ = open_[i[open_] < end[open_]]
+        inside = np.flatnonzero(i < end)
+        equal[inside] = self._lows(i[inside]) == low[inside]
         return i, equal
 
 
