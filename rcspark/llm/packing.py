@@ -185,14 +185,15 @@ def _merger(level: int, final: bool, capacity: int, open_windows: int, with_ids:
         group = int(pdf["group"].iloc[0])
         rows: list[tuple] = []
         packer = Packer(capacity, open_windows, _first_id(level, group), lambda p, s, o: rows.append(_row(p, s, o, with_ids)))
-        pdf = pdf.sort_values(["origin", "doc_id", "start"], kind="stable")
-        for d, s, n, i in zip(pdf.doc_id, pdf.start, pdf.doc_tokens, pdf.ids, strict=True):
-            packer.place(None if pd.isna(d) else int(d), int(s), int(n), bytes(i))
+        pdf = pdf.sort_values(["origin", "no_id", "doc_id", "start"], kind="stable")
+        for d, no_id, s, n, i in zip(pdf.doc_id, pdf.no_id, pdf.start, pdf.doc_tokens, pdf.ids, strict=True):
+            packer.place(None if no_id else int(d), int(s), int(n), bytes(i))
         if final:
             packer.finish()
         else:
             rows += _open_rows(packer, group)
-        return pd.DataFrame(rows, columns=_NAMES).astype({c: "Int64" for c in _NAMES if c not in ("leftover", "ids")})
+        columns = zip(*rows, strict=True) if rows else [[] for _ in _NAMES]  # sequence numbers with nulls beside them must not become floats
+        return pd.DataFrame({n: pd.array(list(c), dtype=object if n in ("leftover", "ids") else "Int64") for n, c in zip(_NAMES, columns, strict=True)})
 
     return merge
 
@@ -241,7 +242,9 @@ def pack(
         level += 1
         final = last < fan_in
 
-        grouped = left.withColumn("group", F.floor(F.col("origin") / fan_in).cast("long"))
+        grouped = left.drop("sequence_id", "offset").withColumn("group", F.floor(F.col("origin") / fan_in).cast("long"))
+        # null ids would make pandas turn all of them into floats
+        grouped = grouped.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"])
         staged = common.materialize(grouped.groupBy("group").applyInPandas(_merger(level, final, capacity, open_windows, with_ids), _STAGED), "packing")
         done.append(staged.filter("NOT leftover"))
         if final:
