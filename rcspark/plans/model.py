@@ -224,7 +224,7 @@ def fit(series: DataFrame, cfg: Config, strategy: str | Callable = "recycle", ad
     data = prepare(series, cfg, add_noise)
     model = untrained(data.cfg, data.norm, data.shift, w_in, w)
     trace: list = []
-    if data.cfg.optimize:
+    if data.cfg.searched():
         model, trace = optimise(model, data.train, strategy)
     return Model(model.cfg, model.w_in, model.w, fit_readout(model, data.train), model.norm, model.shift, data.summary, trace)
 
