@@ -7,6 +7,9 @@ from pathlib import Path
 import numpy as np
 
 _CHUNK = 1 << 17
+#: Of each byte: how many bits are set, and the place of each of them.
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
+_PLACE = np.array([[*[i for i in range(8) if b >> i & 1], *[0] * 8][:8] for b in range(256)], np.uint8)
 
 
 class EliasFano:
@@ -23,8 +26,11 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1) if n else 0
         low_bits = min(low_bits, 56)
-        bits = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low_bits else np.zeros((n, 0), np.uint8)
-        low = np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8))
+        low = [np.zeros(0, np.uint8)]
+        for k in range(0, n if low_bits else 0, _CHUNK):  # a chunk's bits fill whole bytes
+            bits = np.unpackbits(np.ascontiguousarray(values[k : k + _CHUNK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low_bits]
+            low.append(np.packbits(bits.ravel(), bitorder="little"))
+        low = np.append(np.concatenate(low), np.zeros(8, np.uint8))
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         size = ((int(at[-1]) if n else 0) + 2 + 63) // 64 * 64
         high = np.zeros(size, np.uint8)
@@ -51,8 +57,13 @@ class EliasFano:
         """Place of the set bit number ``rank`` of each word."""
         out = np.empty(len(words), np.int64)
         for at in range(0, len(words), _CHUNK):
-            bits = np.unpackbits(np.ascontiguousarray(words[at : at + _CHUNK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out[at : at + _CHUNK] = (np.cumsum(bits, 1, dtype=np.uint8) == (rank[at : at + _CHUNK, None] + 1)).argmax(1)
+            parts = np.ascontiguousarray(words[at : at + _CHUNK]).view(np.uint8).reshape(-1, 8)
+            want = rank[at : at + _CHUNK]
+            upto = np.cumsum(_ONES[parts], 1, dtype=np.uint8)
+            byte = np.minimum((upto <= want[:, None]).sum(1), 7)
+            row = np.arange(len(parts))
+            before = np.where(byte > 0, upto[row, byte - 1], 0)
+            out[at : at + _CHUNK] = 8 * byte + _PLACE[parts[row, byte], np.clip(want - before, 0, 7)]
         return out
 
     def _select(self, rank: np.ndarray, zeros: bool) -> np.ndarray:
@@ -150,17 +161,24 @@ class Trie:
 
     def score(self, context: np.ndarray, word: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
         """log10 probability of each word after its context; log_p1: the words' own, to back off to."""
+        contexts, c_at = np.unique(context, return_inverse=True)
+        words, first, w_at = np.unique(word, return_index=True, return_inverse=True)
+        return self.score_places(contexts, words, c_at, w_at, np.asarray(log_p1)[first])
+
+    def score_places(self, contexts: np.ndarray, words: np.ndarray, c_at: np.ndarray, w_at: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
+        """As ``score``, of pairs given by their places among distinct contexts and words (with their log_p1)."""
         low, step, b_low, b_step = np.asarray(self.scale)
-        c, has = self.levels["contexts"].successor(context)
-        w, known = self.levels["words"].successor(word)
-        out = np.array(log_p1, float)
-        c_has = c[has]
-        out[has] += b_low + b_step * np.asarray(self.backoffs)[c_has]
-        both = np.flatnonzero(has & known)
+        c, has = self.levels["contexts"].successor(contexts)
+        w, known = self.levels["words"].successor(words)
+        backoff = np.zeros(len(contexts))
+        backoff[has] = b_low + b_step * np.asarray(self.backoffs)[c[has]]
+        out = backoff[c_at] + log_p1[w_at]
+        ends = np.zeros(len(contexts), np.int64)
+        ends[has] = self.levels["pointers"].get(c[has] + 1)
+        both = np.flatnonzero(has[c_at] & known[w_at])
         if len(both):
-            width = max(self.levels["words"].n, 1)
-            at, hit = self.levels["successors"].successor(c[both].astype(np.uint64) * np.uint64(width) + w[both].astype(np.uint64))
-            ends = self.levels["pointers"].get(c[both] + 1).astype(np.int64)
-            hit &= at < ends
+            cb, wb = c_at[both], w_at[both]
+            at, hit = self.levels["successors"].successor(c[cb].astype(np.uint64) * np.uint64(max(self.levels["words"].n, 1)) + w[wb].astype(np.uint64))
+            hit &= at < ends[cb]
             out[both[hit]] = low + step * np.asarray(self.codes)[at[hit]]
         return out

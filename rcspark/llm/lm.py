@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -34,14 +35,14 @@ from .elias_fano import Trie
 
 #: Parameters: numbered words and their longest length, smoothing, bigrams of a shard, of a block, and the share of
 #: all contexts from which one is spread by word.
-HEAD = 400_000
+HEAD = 300_000
 HEAD_BYTES = 64
 SMOOTHING = 8.0
-SHARD_PAIRS = 2_000_000
-BLOCK_PAIRS = 2_000_000
+SHARD_PAIRS = 1_500_000
+BLOCK_PAIRS = 1_000_000
 SPREAD_SHARE = 1 / 200
 SPREAD = 64
-_COUNTER_WORDS = 600_000
+_COUNTER_WORDS = 400_000
 _KEY_BITS = 33
 
 _HEADS: dict[str, "Head"] = {}
@@ -195,60 +196,80 @@ def _send(shared, n_shards: int, spread_from: float, arrow_id: pa.DataType):
     return batches
 
 
-def make_trie(head: Head, context: np.ndarray, word: np.ndarray, smoothing: float) -> Trie:
-    """From training bigrams."""
-    contexts, c_at = np.unique(context, return_inverse=True)
-    words, w_at = np.unique(word, return_inverse=True)
-    keys, counts = np.unique(c_at * max(len(words), 1) + w_at, return_counts=True)
-    c_at, w_at = keys // max(len(words), 1), keys % max(len(words), 1)
-    seen = np.bincount(c_at, counts, len(contexts))
-    total = head.context_counts(contexts, seen) + smoothing
+def _places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct numbers, place of each number among them); hashes first, so only distinct ones are sorted."""
+    codes, distinct = pd.factorize(x)
+    order = np.argsort(distinct, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[codes]
+
+
+def make_trie(head: Head, contexts: np.ndarray, words: np.ndarray, keys: np.ndarray, counts: np.ndarray, smoothing: float) -> Trie:
+    """contexts, words: sorted ids; keys: context place * number of words + word place, sorted; counts: of training."""
+    keys, counts = keys[counts > 0], counts[counts > 0]
+    c_at, w_at = np.divmod(keys, max(len(words), 1))
+    total = head.context_counts(contexts, np.bincount(c_at, counts, len(contexts)))
+    has = np.flatnonzero(total > 0)  # a context that is spread may have no successor here, but its back-off weight
+    c_at, total = np.searchsorted(has, c_at), total[has] + smoothing
     p = (counts + smoothing * 10 ** head.log_p1(words)[w_at]) / total[c_at]
-    return Trie.build(contexts, words, c_at, w_at, np.log10(p), np.log10(smoothing / total))
+    return Trie.build(contexts[has], words, c_at, w_at, np.log10(p), np.log10(smoothing / total))
 
 
 def _score_shards(shared, smoothing: float):
-    """(part, block) rows: each text's place in its part, and the sum of its bigrams' log-probabilities here."""
+    """Replaces the blocks of bigrams (kind 1) by each text's place in its part and the sum of its bigrams'
+    log-probabilities here; lets other rows pass. Rows come in order of their shard, the others' being -1."""
 
-    def one_shard(parts: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    def one_shard(parts: list[int], blocks: list[bytes]) -> list[bytes]:
         head = _head(shared)
         found = [unpack_block(b) for b in blocks]
-        context, word, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        train = (place & 1) == 0
-        trie = make_trie(head, context[train], word[train], smoothing)
+        places = [p for _, _, p in found]
+        contexts, c_at = _places(np.concatenate([c for c, _, _ in found]))
+        words, w_at = _places(np.concatenate([w for _, w, _ in found]))
+        del found
+        keys, at = _places(c_at * len(words) + w_at)
+        del c_at, w_at
+        counts = np.bincount(at, (np.concatenate(places) & 1) == 0, len(keys))
+        trie = make_trie(head, contexts, words, keys, counts, smoothing)
         folder = Path(tempfile.mkdtemp(prefix="trie-"))
         try:
             trie.save(folder)
             del trie
             mapped = Trie.load(folder)
-            contexts, c_at = np.unique(context, return_inverse=True)
-            words, w_at = np.unique(word, return_inverse=True)
-            keys, at = np.unique(c_at * len(words) + w_at, return_inverse=True)
-            w = words[keys % len(words)]
-            score = mapped.score(contexts[keys // len(words)], w, head.log_p1(w))[at]
+            score = mapped.score_places(contexts, words, *np.divmod(keys, len(words)), head.log_p1(words))[at]
             del mapped
         finally:
             shutil.rmtree(folder, ignore_errors=True)
         out, start = [], 0
-        for c, _, p in found:
+        for p in places:
             docs, d_at = np.unique(p >> 1, return_inverse=True)
-            sums = np.bincount(d_at, score[start : start + len(c)])
-            start += len(c)
+            sums = np.bincount(d_at, score[start : start + len(p)])
+            start += len(p)
             out.append(zstandard.ZstdCompressor(level=1).compress(docs.astype("<i4").tobytes() + sums.astype("<f8").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(out, pa.binary())], names=["part", "block"])
+        return out
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, blocks = None, [], []
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            all_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            parts, blocks = all_.column("key").to_pylist(), all_.column("block").to_pylist()
+            return all_.set_column(all_.schema.get_field_index("block"), "block", pa.array(one_shard(parts, blocks), pa.binary()))
+
         for batch in it:
-            for shard, part, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if shard != now and parts:
-                    yield one_shard(parts, blocks)
-                    parts, blocks = [], []
-                now = shard
-                parts.append(part)
-                blocks.append(block)
-        if parts:
-            yield one_shard(parts, blocks)
+            shard = batch.column("shard").to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1)), len(shard))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[0].column("shard")[0].as_py() != shard[a]:
+                    yield done()
+                part = batch.slice(a, b - a)
+                if shard[a] < 0:
+                    yield part
+                else:
+                    held.append(part)
+        if held:
+            yield done()
 
     return batches
 
@@ -310,10 +331,12 @@ def score(
     if arrow_id == pa.string():
         slim = slim.withColumn("doc_id", F.col("doc_id").cast("string"))
     sent = slim.mapInArrow(_send(shared, n_shards, spread_share * max(n, 1), arrow_id), _OUT.format(id={pa.int64(): "long", pa.int32(): "int"}.get(arrow_id, "string")))
-    sent = common.materialize(sent, "bigrams")
-
-    blocks = sent.filter("kind = 1").select("shard", F.col("key").alias("part"), "block").repartition(n_shards, "shard").sortWithinPartitions("shard")
-    sums = blocks.mapInArrow(_score_shards(shared, smoothing), "part long, block binary")
+    # other rows ride along, spread by their text; all are sent once and nothing is written before the shards have run
+    target = F.when(F.col("kind") == 1, F.col("shard")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n_shards)))
+    dealt = sent.repartition(n_shards, target).sortWithinPartitions(F.coalesce("shard", F.lit(-1).cast("long")))
+    dealt = dealt.withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long")))
+    sent = common.materialize(dealt.mapInArrow(_score_shards(shared, smoothing), sent.schema), "bigrams")
+    sums = sent.filter("kind = 1").select(F.col("key").alias("part"), "block")
     sums = sums.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_parts, "key long, score double")
 
     rare = sent.filter("kind = 2").select("key", "word", "times").join(words.filter(~in_head), "word", "left")
