@@ -35,8 +35,12 @@ SHINGLE = 3
 BLOCK = 8192
 #: A probe row costs as much as so many comparisons inside a task.
 PROBE_COST = 50
-PARTITION_COUNTS = (2, 3, 4)
+PARTITION_COUNTS = (2, 3, 4, 5, 6)
 _SMALL = 64
+#: Groups with more links than so many for each fingerprint are told by a spanning forest.
+LINKS_EACH = 16
+#: For groups by similarity: differing bits of candidates, words of a shingle, least Jaccard similarity.
+WIDE_RADIUS, WORDS, SIMILARITY = 10, 5, 0.8
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -143,7 +147,7 @@ def allocate(parts: list[list[int]], pairs0: list[float], odds: np.ndarray, n: i
         costs = {-1: 0.0}
         for t in range(min(radius, len(bits)) + 1):
             probes = sum(comb(len(bits), j) for j in range(t + 1)) + (t > 0)
-            costs[t] = PROBE_COST * n * probes + pairs * float(sums[: t + 1].sum())
+            costs[t] = PROBE_COST * max(n, 1) * probes + pairs * float(sums[: t + 1].sum())
         step: dict[int, tuple[float, list[int]]] = {}
         for have, (cost, chosen) in best.items():
             for t, c in costs.items():
@@ -161,8 +165,6 @@ def make_plan(fps: DataFrame, n: int, radius: int) -> Plan:
     differ = 2 * p * (1 - p)
     odds = differ / np.maximum(1 - differ, 1e-9)
     schemes = [correlated_parts(both, n, m) for m in PARTITION_COUNTS if m <= radius + 1]
-    if radius + 1 > max(PARTITION_COUNTS):
-        schemes.append(correlated_parts(both, n, radius + 1))
     masks = [signed(mask_of(bits)) for parts in schemes for bits in parts]
     keyed = fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("part", "key"))
     sizes = keyed.groupBy("part", "key").agg(F.count(F.lit(1)).cast("double").alias("c"))
@@ -181,6 +183,21 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
+def dense_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links between ``left`` and ``right``, or a spanning forest of them if they are very many."""
+    rows, room = max(1, (1 << 22) // max(len(right), 1)), LINKS_EACH * (len(left) + len(right))
+    a, b = [], []
+    for at in range(0, len(left), rows):
+        i, j = np.nonzero(close_pairs(left[at : at + rows, None], right[None, :], radius))
+        apart = left[at + i] != right[j]
+        a.append(left[at + i[apart]])
+        b.append(right[j[apart]])
+        room -= len(a[-1])
+        if room < 0:
+            return forest(left, right, radius)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges of the links between ``left`` and ``right``, without holding all pairs."""
     nodes = np.unique(np.concatenate([left, right]))
@@ -221,7 +238,7 @@ def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int) ->
         f, q = fp[s : s + size], probe[s : s + size]
         x, y = (f, f) if q[0] < 0 else (f[q == 1], f[q == 0])
         if len(x) and len(y):
-            x, y = forest(np.unique(x), np.unique(y), radius)
+            x, y = dense_links(np.unique(x), np.unique(y), radius)
             a.append(x)
             b.append(y)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -347,11 +364,71 @@ def near_groups(
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ---- groups by similarity
+
+
+def shingle_hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; of the whole sequence if it is shorter, none if it is empty."""
+    w = raw.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    texts = {b" ".join(x) for x in zip(*[w[i:] for i in range(words)])} if len(w) > words else {b" ".join(w)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(t, SEED) for t in texts), np.uint64, len(texts)))
+
+
+def _shingle_sets(words: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingle_hashes(x.as_py(), words).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return batches
+
+
+def _similar(least: float):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return batches
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, block: int = BLOCK
+) -> DataFrame:
+    """(id, component_id) of the rows that follow another in a group (the first one isn't listed): joined by candidates within ``radius`` bits, of which
+    those stay whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``, exactly.
+
+    Texts with one fingerprint are candidates with the one with the smallest id. Rows without an id are in no group;
+    rows that repeat an id count as one, by one of their texts. Empty texts are alike. Empty table: empty result."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).filter("node IS NOT NULL").dropDuplicates(["node"])
+    marked = common.materialize(fingerprints(rows, "node", "t"), "fingerprints")
+    by_fp = common.materialize(marked.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_fp")
+    n, total = by_fp.agg(F.count(F.lit(1)), F.sum("docs")).first()
+    found = links(by_fp.select("fp"), n, radius, block).distinct()
+    rep = lambda fp, name: by_fp.select(F.col("fp").alias(fp), F.col("rep").alias(name))
+    edges = found.join(rep("fa", "a_rep"), F.col("a") == F.col("fa")).join(rep("fb", "b_rep"), F.col("b") == F.col("fb")).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    same = common.lookup_join(marked, by_fp, ["fp"], "docs", total or 0).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    edges = common.materialize(edges.unionAll(same), "candidates")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", common.text_or_empty("t").cast("binary").alias("raw"))
+    sets = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
+    side = lambda x: sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+    both = edges.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
+    return components(both.mapInArrow(_similar(similarity), "a long, b long")).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+
+
 def query(spark, sf_dir):
     return near_groups(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: one document of each group stays, the one with the smallest id."""
-    stay = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays. Near are documents
+    whose shingles of five words have a similarity of 0.8 or more."""
+    go = similar_groups(docs).select(F.col("doc_id").alias("go_id"))
+    return docs.join(go, F.col("doc_id") == F.col("go_id"), "left_anti").select(*docs.columns)
