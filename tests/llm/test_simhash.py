@@ -85,3 +85,56 @@ def test_texts_ids_and_extra_columns(spark):
 def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
+
+
+def shingles(t, words=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_groups_by_similarity_are_found_and_no_others(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 120, 300]))]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            near = list(base)
+            for _ in range(rng.randrange(0, max(1, len(base) // 25))):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((10 * g + k, " ".join(near)))
+    rows += [(5000, None), (5001, ""), (None, rows[0][1]), (5002, "tiny"), (5002, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    text = dict((i, t or "") for i, t in rows if i is not None)
+    sets = {i: shingles(t) for i, t in text.items()}
+    want = brute_groups(list(text), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    expected = {i: min(g) for g in want for i in g if i != min(g)}
+    assert set(got) <= set(expected) and all(expected[i] == c for i, c in got.items() if i in expected)
+    assert len(got) >= 0.9 * len(expected)
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
+def brute_groups(ids, alike):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and alike(a, b):
+                p, q = find(a), find(b)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+    groups = {}
+    for i in ids:
+        groups.setdefault(find(i), set()).add(i)
+    return [g for g in groups.values() if len(g) > 1]
