@@ -91,7 +91,10 @@ class Pieces:
         """What is encoded on its own; their concatenation is the marked text."""
         if not text:
             return []
-        return (_UNITS if self.cuts_lines else _WORDS).findall(MARK + text.replace(" ", MARK))
+        if not self.cuts_lines or "  " in text or text[0] == " " or MARK in text:
+            return (_UNITS if self.cuts_lines else _WORDS).findall(MARK + text.replace(" ", MARK))
+        # single spaces: units begin at them
+        return list(filter(None, f"{MARK}{text}".replace(" ", f" {MARK}").replace("\n", " \n ").split(" ")))
 
     def decode(self, ids) -> str:
         """Ids as text; bytes that aren't UTF-8 are replaced."""
@@ -113,86 +116,119 @@ def model(path: str) -> Pieces:
 
 
 def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, s, e, piece's columns): all pieces in each unit, and its other single characters with a null id.
-
-    ``units``: (unit), distinct; the result keeps their partitioning."""
+    """The columns of ``units``, (s, e) and the piece's columns: all pieces in each unit, and its other single
+    characters with a null id. ``units``: (unit, ...), distinct; the result keeps their partitioning."""
     starts = units.withColumn("s", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)))
-    spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("unit") - F.col("s")))))
-    found = spans.withColumn("sub", F.substring("unit", F.col("s") + 1, F.col("n"))).join(F.broadcast(pieces), F.col("sub") == F.col("piece"), "left")
-    return found.filter(F.col("id").isNotNull() | (F.col("n") == 1)).select("unit", "s", (F.col("s") + F.col("n")).alias("e"), "id", "score", "rank", "late")
+    spans = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("unit") - F.col("s")))))
+    found = spans.withColumn("sub", F.substring("unit", F.col("s") + 1, F.col("len"))).join(F.broadcast(pieces), F.col("sub") == F.col("piece"), "left")
+    return found.filter(F.col("id").isNotNull() | (F.col("len") == 1)).select(*units.columns, "s", (F.col("s") + F.col("len")).alias("e"), "id", "score", "rank", "late")
 
 
 def _first(items: Column, keep) -> Column:
     return F.get(F.filter(items, keep), F.lit(0))
 
 
-def _merge_fold(start: Column, steps: Column, items: Column, fits, apply) -> Column:
-    """The boundaries after all merges. items: edges of two or more characters, by rank, then place."""
-    late = F.filter(items, lambda x: x["late"])
-    before = lambda f, x: F.struct(f["rank"], f["s"], f["e"]) < F.struct(x["rank"], x["s"], x["e"])
+def _merge_fold(steps: Column, items: Column, late: Column, start: Column, fits, apply, earlier) -> tuple[Column, Column]:
+    """(struct of the boundaries after one pass over ``items`` by rank and place, and whether this is final; the
+    boundaries by always taking the best item that fits). late: the items that may fit only after a later one."""
 
     def once(acc: Column, x: Column) -> Column:
         now = apply(acc["at"], x)
-        fine = acc["fine"] & ~F.exists(late, lambda f: before(f, x) & fits(now, f))
+        fine = acc["fine"] & ~F.exists(late, lambda f: earlier(f, x) & fits(now, f))
         return F.when(fits(acc["at"], x), F.struct(now.alias("at"), fine.alias("fine"))).otherwise(acc)
 
     def again(acc: Column, _: Column) -> Column:
         best = _first(items, lambda x: fits(acc, x))
         return F.when(best.isNotNull(), apply(acc, best)).otherwise(acc)
 
-    swift = F.aggregate(items, F.struct(start.alias("at"), F.lit(True).alias("fine")), once)
-    return F.struct(swift["at"].alias("at"), swift["fine"].alias("fine")), F.aggregate(steps, start, again)
+    return F.aggregate(items, F.struct(start.alias("at"), F.lit(True).alias("fine")), once), F.aggregate(steps, start, again)
+
+
+def _shift(x: Column | int, n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(x).cast("long") if isinstance(x, int) else x, n)
+
+
+#: Fields of an edge of a short unit in one number, that sorts by rank, then place: rank, s, e, late, id + 1.
+_ID_BITS, _POINT_BITS = 21, 6
+
 
+def _pack(rank: Column, s: Column, e: Column, late: Column, id_: Column) -> Column:
+    out = F.coalesce(rank, F.lit(0)).cast("long")
+    for value, bits in ((s, _POINT_BITS), (e, _POINT_BITS), (F.coalesce(late.cast("int"), F.lit(0)), 1), (F.coalesce(id_ + 1, F.lit(0)), _ID_BITS)):
+        out = out * F.lit(1 << bits).cast("long") + value
+    return out
 
-def _bits(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+def _start_of(x: Column) -> Column:
+    return F.shiftright(x, _POINT_BITS + 1 + _ID_BITS).bitwiseAND(F.lit((1 << _POINT_BITS) - 1)).cast("int")
+
+
+def _end_of(x: Column) -> Column:
+    return F.shiftright(x, 1 + _ID_BITS).bitwiseAND(F.lit((1 << _POINT_BITS) - 1)).cast("int")
 
 
 def encode_units(units: DataFrame, pieces: Pieces, kind: str = "bpe") -> DataFrame:
-    """(unit, ids array<int>) of distinct, non-empty units."""
+    """The columns of ``units`` and ids array<int>. ``units``: (unit, ...), distinct and not empty."""
     spark = units.sparkSession
-    n = units.count()
-    dealt = units.select("unit").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PARTITION_UNITS + 1), "unit")
+    n, keys = units.count(), units.columns
+    dealt = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PARTITION_UNITS + 1), "unit")
     found = edges(dealt, pieces.table(spark), pieces.longest)
     if kind == "unigram":
-        return _viterbi(found, pieces)
+        return _viterbi(found, pieces, keys)
     if kind != "bpe":
         raise ValueError(f"unknown kind {kind}")
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     was = spark.conf.get(setting, "128")
     spark.conf.set(setting, str(4 * PARTITION_UNITS))  # a partition's units are few: no need to sort their edges
     try:
-        short = found.filter(F.char_length("unit") <= SHORT)
-        inner = F.col("e") - F.col("s")
-        item = F.struct("rank", "s", "e", "late", "id", (_bits(F.col("s")).bitwiseOR(_bits(F.col("e")))).alias("ends"), ((_bits(F.col("e")) - _bits(F.col("s") + 1))).alias("mid"))
-        short = short.groupBy("unit").agg(F.array_sort(F.collect_list(item)).alias("all"))
-        short = short.withColumn("items", F.filter("all", lambda x: x["e"] - x["s"] > 1)).withColumn("start", _bits(F.char_length("unit") + 1) - 1)
-        fits = lambda at, x: (at.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(at.bitwiseAND(x["mid"])) == 1)
-        cut = lambda at, x: at.bitwiseXOR(at.bitwiseAND(x["mid"]))
-        steps = F.sequence(F.lit(1), F.char_length("unit"))
-        swift, slow = _merge_fold(F.col("start"), steps, F.col("items"), fits, cut)
-        short = short.withColumn("swift", swift).withColumn("at", F.when(F.col("swift.fine"), F.col("swift.at")).otherwise(slow))
-        short = short.withColumn("out", F.filter("all", lambda x: (F.col("at").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("at").bitwiseAND(x["mid"]) == 0)))
-        short = short.select("unit", "out")
-
-        long_ = found.filter(F.char_length("unit") > SHORT).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("rank", "s", "e", "late", "id"))).alias("all"))
-        long_ = long_.withColumn("items", F.filter("all", lambda x: x["e"] - x["s"] > 1)).withColumn("start", F.repeat(F.lit("1"), F.char_length("unit") + 1))
-        point = lambda at, i: F.substring(at, i + 1, F.lit(1)) == "1"
-        ones = lambda at, x: F.char_length(F.replace(F.substring(at, x["s"] + 2, x["e"] - x["s"] - 1), F.lit("0"), F.lit("")))
-        fits_s = lambda at, x: point(at, x["s"]) & point(at, x["e"]) & (ones(at, x) == 1)
-        cut_s = lambda at, x: F.overlay(at, F.repeat(F.lit("0"), x["e"] - x["s"] - 1), x["s"] + 2)
-        swift, slow = _merge_fold(F.col("start"), F.sequence(F.lit(1), F.char_length("unit")), F.col("items"), fits_s, cut_s)
-        long_ = long_.withColumn("swift", swift).withColumn("at", F.when(F.col("swift.fine"), F.col("swift.at")).otherwise(slow))
-        long_ = long_.withColumn("out", F.filter("all", lambda x: point(F.col("at"), x["s"]) & point(F.col("at"), x["e"]) & (ones(F.col("at"), x) == 0))).select("unit", "out")
-        slim = lambda d: d.select("unit", _ids(F.col("out"), pieces).alias("ids"))
-        return common.materialize(slim(short).unionByName(slim(long_)), "units")
+        out = _encode_short(found.filter(F.char_length("unit") <= SHORT), pieces, keys).unionByName(_encode_long(found.filter(F.char_length("unit") > SHORT), pieces, keys))
+        return common.materialize(out, "units")
     finally:
         spark.conf.set(setting, was)
 
 
+def _encode_short(found: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """Boundaries are the bits of a number."""
+    found = found.groupBy(*keys).agg(F.array_sort(F.collect_list(_pack(F.col("rank"), F.col("s"), F.col("e"), F.col("late"), F.col("id")))).alias("all"))
+
+    def item(x: Column) -> Column:
+        ends = _shift(1, _start_of(x)).bitwiseOR(_shift(1, _end_of(x)))
+        return F.struct(x.alias("x"), ends.alias("ends"), (_shift(1, _end_of(x)) - _shift(2, _start_of(x))).alias("mid"))
+
+    several = F.filter("all", lambda x: _end_of(x) - _start_of(x) > 1)
+    found = found.withColumn("items", F.transform(several, item)).withColumn("start", _shift(1, F.char_length("unit") + 1) - 1)
+    found = found.withColumn("late", F.filter("items", lambda i: F.shiftright(i["x"], _ID_BITS).bitwiseAND(F.lit(1)) == 1))
+    fits = lambda at, i: (at.bitwiseAND(i["ends"]) == i["ends"]) & (F.bit_count(at.bitwiseAND(i["mid"])) == 1)
+    cut = lambda at, i: at.bitwiseXOR(at.bitwiseAND(i["mid"]))
+    swift, slow = _merge_fold(F.sequence(F.lit(1), F.char_length("unit")), F.col("items"), F.col("late"), F.col("start"), fits, cut, lambda f, x: f["x"] < x["x"])
+    found = found.withColumn("swift", swift).withColumn("at", F.when(F.col("swift.fine"), F.col("swift.at")).otherwise(slow))
+    on = lambda i: F.col("at").bitwiseAND(_shift(1, i)) != 0
+    inner = lambda x: F.col("at").bitwiseAND(_shift(1, _end_of(x)) - _shift(2, _start_of(x))) == 0
+    kept = F.filter("all", lambda x: on(_start_of(x)) & on(_end_of(x)) & inner(x))
+    out = F.transform(kept, lambda x: F.struct(_start_of(x).alias("s"), (x.bitwiseAND(F.lit((1 << _ID_BITS) - 1)) - 1).cast("int").alias("id")))
+    found = found.withColumn("out", F.array_sort(out))
+    return found.select(*keys, _ids(F.col("out"), pieces).alias("ids"))
+
+
+def _encode_long(found: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """Boundaries are the ones of a string."""
+    found = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "s", "e", "late", "id"))).alias("all"))
+    found = found.withColumn("items", F.filter("all", lambda x: x["e"] - x["s"] > 1)).withColumn("start", F.repeat(F.lit("1"), F.char_length("unit") + 1))
+    found = found.withColumn("late", F.filter("items", lambda x: x["late"]))
+    point = lambda at, i: F.substring(at, i + 1, F.lit(1)) == "1"
+    ones = lambda at, x: F.char_length(F.replace(F.substring(at, x["s"] + 2, x["e"] - x["s"] - 1), F.lit("0"), F.lit("")))
+    fits = lambda at, x: point(at, x["s"]) & point(at, x["e"]) & (ones(at, x) == 1)
+    cut = lambda at, x: F.overlay(at, F.repeat(F.lit("0"), x["e"] - x["s"] - 1), x["s"] + 2)
+    earlier = lambda f, x: F.struct(f["rank"], f["s"], f["e"]) < F.struct(x["rank"], x["s"], x["e"])
+    swift, slow = _merge_fold(F.sequence(F.lit(1), F.char_length("unit")), F.col("items"), F.col("late"), F.col("start"), fits, cut, earlier)
+    found = found.withColumn("swift", swift).withColumn("at", F.when(F.col("swift.fine"), F.col("swift.at")).otherwise(slow))
+    kept = F.filter("all", lambda x: point(F.col("at"), x["s"]) & point(F.col("at"), x["e"]) & (ones(F.col("at"), x) == 0))
+    out = F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.coalesce(x["id"], F.lit(-1)).alias("id"))))
+    return found.withColumn("out", out).select(*keys, _ids(F.col("out"), pieces).alias("ids"))
+
+
 def _ids(out: Column, pieces: Pieces) -> Column:
-    """Ids of the segments ``out``, by place; a character without a piece becomes its UTF-8 bytes, or 0."""
-    by_place = F.array_sort(F.transform(out, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
+    """Ids of the segments ``out`` (s, id), in order; a character without a piece (id -1) becomes its UTF-8 bytes, or 0."""
 
     def spelt(s: Column) -> Column:
         code = F.hex(F.encode(F.substring("unit", s + 1, F.lit(1)), "UTF-8"))
@@ -201,16 +237,17 @@ def _ids(out: Column, pieces: Pieces) -> Column:
             return F.array(F.lit(0))
         return F.transform(at, lambda i: (F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + F.lit(pieces.first_byte)))
 
-    known = F.forall(by_place, lambda x: x["id"].isNotNull())
-    return F.when(known, F.transform(by_place, lambda x: x["id"])).otherwise(F.flatten(F.transform(by_place, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(spelt(x["s"])))))
+    plain = F.transform(out, lambda x: x["id"])
+    full = F.flatten(F.transform(out, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(spelt(x["s"]))))
+    return F.when(F.forall(plain, lambda i: i >= 0), plain).otherwise(full)
 
 
-def _viterbi(found: DataFrame, pieces: Pieces) -> DataFrame:
+def _viterbi(found: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     """Of paths with equal scores, the one whose last piece is longest. Characters without a piece cost 10 more than
     the lowest score."""
     low = min(pieces.score, default=0.0) - 10
-    item = F.struct("e", "s", F.coalesce("score", F.lit(low)).alias("score"), "id")
-    units = found.groupBy("unit").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    item = F.struct("e", "s", F.coalesce("score", F.lit(low)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    units = found.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
 
     def best(acc: Column, i: Column) -> Column:
         ways = F.transform(
@@ -228,7 +265,7 @@ def _viterbi(found: DataFrame, pieces: Pieces) -> DataFrame:
 
     begin = F.struct(F.char_length("unit").alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("out"))
     units = units.withColumn("out", F.aggregate(F.sequence(F.lit(1), F.char_length("unit")), begin, back, lambda acc: acc["out"]))
-    return common.materialize(units.select("unit", _ids(F.col("out"), pieces).alias("ids")), "units")
+    return common.materialize(units.select(*keys, _ids(F.col("out"), pieces).alias("ids")), "units")
 
 
 # ---- texts
@@ -325,8 +362,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             break
         least, room = count, room - many
     in_head = F.lit(False) if least is None else (F.char_length("unit") <= HEAD_CHARS) & (F.col("n") >= F.lit(least))
-    with_n = coded.join(units, "unit").select("unit", "n", _as_bytes(F.col("ids")).alias("code"))
-    with_n = common.materialize(with_n, "coded")
+    with_n = coded.select("unit", "n", _as_bytes(F.col("ids")).alias("code"))
     top = with_n.filter(in_head).select("unit", "code").toArrow()
     shared = (uuid.uuid4().hex, spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist())))
 
