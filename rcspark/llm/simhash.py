@@ -40,7 +40,7 @@ _SMALL = 64
 #: Groups with more links than so many for each fingerprint are told by a spanning forest.
 LINKS_EACH = 16
 #: For groups by similarity: differing bits of candidates, words of a shingle, least Jaccard similarity.
-WIDE_RADIUS, WORDS, SIMILARITY = 10, 5, 0.8
+WIDE_RADIUS, WORDS, SIMILARITY = 8, 5, 0.8
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -183,13 +183,14 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def dense_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links between ``left`` and ``right``, or a spanning forest of them if they are very many."""
+def dense_links(left: np.ndarray, right: np.ndarray, radius: int, left_label: np.ndarray | None = None, right_label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The links between ``left`` and ``right``, of different labels if there are any; or a spanning forest of all links
+    if they are very many."""
     rows, room = max(1, (1 << 22) // max(len(right), 1)), LINKS_EACH * (len(left) + len(right))
     a, b = [], []
     for at in range(0, len(left), rows):
         i, j = np.nonzero(close_pairs(left[at : at + rows, None], right[None, :], radius))
-        apart = left[at + i] != right[j]
+        apart = left[at + i] != right[j] if left_label is None else left_label[at + i] != right_label[j]
         a.append(left[at + i[apart]])
         b.append(right[j[apart]])
         room -= len(a[-1])
@@ -219,9 +220,10 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
             return nodes[moved], nodes[label[moved]]
 
 
-def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links inside each run of equal ``group`` values. probe: 0 index and 1 probe rows, which are compared with each
-    other; -1 rows are compared among themselves."""
+    other; -1 rows are compared among themselves. Links between equal labels are left out."""
+    mark = fp if label is None else label
     n = len(fp)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, n))
@@ -231,28 +233,31 @@ def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int) ->
         i = np.flatnonzero(small[: n - d] & (group[: n - d] == group[d:]))
         if not len(i):
             break
-        i = i[((probe[i] < 0) | (probe[i] != probe[i + d])) & (fp[i] != fp[i + d]) & close_pairs(fp[i], fp[i + d], radius)]
+        i = i[((probe[i] < 0) | (probe[i] != probe[i + d])) & (mark[i] != mark[i + d]) & close_pairs(fp[i], fp[i + d], radius)]
         a.append(fp[i])
         b.append(fp[i + d])
     for s, size in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
         f, q = fp[s : s + size], probe[s : s + size]
-        x, y = (f, f) if q[0] < 0 else (f[q == 1], f[q == 0])
-        if len(x) and len(y):
-            x, y = dense_links(np.unique(x), np.unique(y), radius)
+        p, i = np.flatnonzero(q != 0), np.flatnonzero(q < 1)
+        if len(p) and len(i):
+            (x, px), (y, iy) = np.unique(f[p], return_index=True), np.unique(f[i], return_index=True)
+            m = mark[s : s + size]
+            x, y = dense_links(x, y, radius, m[p][px], m[i][iy])
             a.append(x)
             b.append(y)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def _link_batches(radius: int):
+def _link_batches(radius: int, labelled: bool):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int8, np.uint64))
+        kinds = (np.int64, np.int64, np.int64, np.int8, np.uint64, np.int64)[: 5 + labelled]
+        held = tuple(np.zeros(0, t) for t in kinds)
 
         def links(cols):
-            part, key, sub, probe, fp = cols
+            part, key, sub, probe, fp, *label = cols
             new = np.ones(len(fp), bool)
             new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
-            a, b = linked(np.cumsum(new), probe, fp, radius)
+            a, b = linked(np.cumsum(new), probe, fp, radius, *label)
             low, high = np.minimum(a, b), np.maximum(a, b)
             if len(low):
                 pairs = np.unique(np.stack([low, high], 1), axis=0)
@@ -260,8 +265,8 @@ def _link_batches(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["a", "b"])
 
         for batch in it:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cols = [np.concatenate([h, np.asarray(g).astype(h.dtype) if i < 4 else np.asarray(g).view(np.uint64)]) for i, (h, g) in enumerate(zip(held, got, strict=True))]
+            got = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+            cols = [np.concatenate([h, g.view(np.uint64) if h.dtype == np.uint64 else g.astype(h.dtype)]) for h, g in zip(held, got, strict=True)]
             if not len(cols[0]):
                 continue
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
@@ -272,6 +277,8 @@ def _link_batches(radius: int):
                 held = tuple(c[last & (cols[3] == 0)] for c in cols)
             yield links(cols)
         yield links(held)
+        del held
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return batches
 
@@ -279,19 +286,21 @@ def _link_batches(radius: int):
 def links(fps: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b), a below b as unsigned numbers, of which the links' components are those of all links.
 
-    ``fps``: (fp) distinct, ``n`` of them. Links are complete but inside one value's dense group, where a spanning
-    forest stands for them."""
+    ``fps``: (fp) distinct, ``n`` of them; with a whole number ``label``, only links of different labels are wanted.
+    Links are complete but inside one value's dense group, where a spanning forest stands for them."""
     spark = fps.sparkSession
+    labelled = "label" in fps.columns
+    own_cols = ["fp", *["label"] * labelled]
     plan = make_plan(fps, n, radius)
     rows, index = None, None
     for k, (bits, t) in enumerate(plan.parts):
         mask = signed(mask_of(bits))
-        own = fps.select(F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"), F.lit(0 if t else -1).cast("byte").alias("probe"), "fp")
+        own = fps.select(F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"), F.lit(0 if t else -1).cast("byte").alias("probe"), *own_cols)
         index = own if index is None else index.unionAll(own)
         if t:
             flips = [signed(mask_of(c)) for j in range(t + 1) for c in combinations(bits, j)]
-            probes = fps.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select(
-                F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("key"), F.lit(1).cast("byte").alias("probe"), "fp"
+            probes = fps.select(*own_cols, F.explode(F.array(*map(F.lit, flips))).alias("flip")).select(
+                F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("key"), F.lit(1).cast("byte").alias("probe"), *own_cols
             )
             own = own.unionAll(probes)
         rows = own if rows is None else rows.unionAll(own)
@@ -309,12 +318,12 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK) -> D
             .when(F.col("probe") == 0, F.col("i") * F.col("blocks") + F.col("j"))
             .otherwise(F.col("j") * F.col("blocks") + F.col("i"))
         )
-        rows = rows.select("part", "key", sub.alias("sub"), "probe", "fp")
+        rows = rows.select("part", "key", sub.alias("sub"), "probe", *own_cols)
     else:
-        rows = rows.select("part", "key", F.lit(0).cast("long").alias("sub"), "probe", "fp")
+        rows = rows.select("part", "key", F.lit(0).cast("long").alias("sub"), "probe", *own_cols)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "part", "key", "sub").sortWithinPartitions("part", "key", "sub", "probe")
-    return dealt.mapInArrow(_link_batches(radius), "a long, b long")
+    return dealt.mapInArrow(_link_batches(radius, labelled), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -410,17 +419,27 @@ def similar_groups(
     marked = common.materialize(fingerprints(rows, "node", "t"), "fingerprints")
     by_fp = common.materialize(marked.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_fp")
     n, total = by_fp.agg(F.count(F.lit(1)), F.sum("docs")).first()
-    found = links(by_fp.select("fp"), n, radius, block).distinct()
     rep = lambda fp, name: by_fp.select(F.col("fp").alias(fp), F.col("rep").alias(name))
-    edges = found.join(rep("fa", "a_rep"), F.col("a") == F.col("fa")).join(rep("fb", "b_rep"), F.col("b") == F.col("fb")).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+    def between(found: DataFrame) -> DataFrame:
+        return found.join(rep("fa", "a_rep"), F.col("a") == F.col("fa")).join(rep("fb", "b_rep"), F.col("b") == F.col("fb")).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+    def verified(edges: DataFrame) -> DataFrame:
+        edges = common.materialize(edges, "candidates")
+        ends = edges.select(F.col("a").alias("end")).distinct().unionAll(edges.select("b").distinct()).distinct()
+        texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", common.text_or_empty("t").cast("binary").alias("raw"))
+        sets = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
+        side = lambda x: sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+        both = edges.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
+        return common.materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "verified")
+
+    # closely alike first: within the groups they make, no further links are needed, so wider radii add few
     same = common.lookup_join(marked, by_fp, ["fp"], "docs", total or 0).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    edges = common.materialize(edges.unionAll(same), "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", common.text_or_empty("t").cast("binary").alias("raw"))
-    sets = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
-    side = lambda x: sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
-    both = edges.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
-    return components(both.mapInArrow(_similar(similarity), "a long, b long")).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    close = verified(between(links(by_fp.select("fp"), n, min(radius, RADIUS), block).distinct()).unionAll(same))
+    for wider in [*range(2 * RADIUS, radius, RADIUS), *[radius] * (radius > RADIUS)]:
+        labelled = by_fp.join(components(close), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("label"))
+        close = close.unionAll(verified(between(links(common.materialize(labelled, "labels"), n, wider, block).distinct())))
+    return components(close).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 
 def query(spark, sf_dir):
