@@ -155,3 +155,9 @@ def test_windows(lengths: DataFrame, n_val: int, n_test: int, n_wash: int) -> Da
     w = lengths.filter(F.col("n_steps") > n_test).select("seg_id", "n_steps", starts.alias("i0"))
     w = w.select("seg_id", "i0", F.col("i0").alias("u_from"), (F.col("i0") + n_test + n_wash - 1).alias("u_to"), (F.col("i0") + n_wash).alias("y_from"), F.least(F.col("i0") + n_test + n_wash, "n_steps").alias("y_to"))
     return w.filter(F.col("y_to") > F.col("y_from"))
+
+
+def test_segments(lengths: DataFrame, n_wash: int, most: int, long: bool = True) -> DataFrame:
+    """(seg_id, n_steps) of the segments that closed-loop tests use: the first ``most``, by seg_id, of those with
+    n_wash steps, or twice as many for long tests. None is taken twice."""
+    return lengths.filter(F.col("n_steps") >= n_wash * (2 if long else 1)).orderBy("seg_id").limit(most).select("seg_id", "n_steps")

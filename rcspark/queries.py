@@ -617,6 +617,11 @@ def test_windows(spark, sf_dir):
     return frames.test_windows(frames.segment_lengths(src.daily_lineitem(spark, sf_dir)), 100, 30, 20)
 
 
+@query(f"WITH {EV}, len AS (SELECT seg_id, count(*) AS n_steps FROM ev GROUP BY 1) SELECT seg_id, n_steps FROM len WHERE n_steps >= 60 ORDER BY seg_id LIMIT 10")
+def test_segments(spark, sf_dir):
+    return frames.test_segments(frames.segment_lengths(src.user_events(spark, sf_dir)), 30, Config(1).max_l_tests)
+
+
 @query(f"""WITH RECURSIVE {_EV1}, f AS {_fit_sql('a', '1e-6')}, win AS (SELECT seg_id * 100 + i0 AS seg_id, t - i0 AS t, y FROM ev, (VALUES (0), (20)) AS i(i0) WHERE t >= i0 AND t < i0 + {WASH}),
 {states_sql(1, 'win', name='ws')}, seeds AS (SELECT seg_id AS s, r0 AS r, w0, w1 FROM ws, f WHERE t = {WASH - 1}), {closed_sql('seeds', 3, NORM, SHIFT, 's')}, g AS (SELECT seg_id, max(y) - min(y) AS g FROM ev GROUP BY 1),
 e AS (SELECT s // 100 AS seg_id, s, avg(abs(w0 * r + w1 * {B_OUT} - ev.y)) / max(g) AS m FROM cl JOIN ev ON ev.seg_id = s // 100 AND ev.t = s % 100 + {WASH} + 1 + k JOIN g ON g.seg_id = s // 100 GROUP BY 1, 2),
