@@ -39,8 +39,11 @@ PARTITION_COUNTS = (2, 3, 4, 5, 6)
 _SMALL = 64
 #: Groups with more links than so many for each fingerprint are told by a spanning forest.
 LINKS_EACH = 16
-#: For groups by similarity: differing bits of candidates, words of a shingle, least Jaccard similarity.
-WIDE_RADIUS, WORDS, SIMILARITY = 8, 5, 0.8
+#: For groups by similarity: words of a shingle, least Jaccard similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: These bear on its cost only: least hashes of a text that are tried first, shingles counted at once, and the shingles
+#: ordered by their counts: from which count, and how many at most.
+STARS, CHUNK, OFTEN, MOST_ORDERED = 4, 2_000_000, 8, 200_000
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -183,14 +186,13 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def dense_links(left: np.ndarray, right: np.ndarray, radius: int, left_label: np.ndarray | None = None, right_label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The links between ``left`` and ``right``, of different labels if there are any; or a spanning forest of all links
-    if they are very many."""
+def dense_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links between ``left`` and ``right``, or a spanning forest of them if they are very many."""
     rows, room = max(1, (1 << 22) // max(len(right), 1)), LINKS_EACH * (len(left) + len(right))
     a, b = [], []
     for at in range(0, len(left), rows):
         i, j = np.nonzero(close_pairs(left[at : at + rows, None], right[None, :], radius))
-        apart = left[at + i] != right[j] if left_label is None else left_label[at + i] != right_label[j]
+        apart = left[at + i] != right[j]
         a.append(left[at + i[apart]])
         b.append(right[j[apart]])
         room -= len(a[-1])
@@ -220,10 +222,9 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
             return nodes[moved], nodes[label[moved]]
 
 
-def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside each run of equal ``group`` values. probe: 0 index and 1 probe rows, which are compared with each
-    other; -1 rows are compared among themselves. Links between equal labels are left out."""
-    mark = fp if label is None else label
+    other; -1 rows are compared among themselves."""
     n = len(fp)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, n))
@@ -233,31 +234,29 @@ def linked(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int, la
         i = np.flatnonzero(small[: n - d] & (group[: n - d] == group[d:]))
         if not len(i):
             break
-        i = i[((probe[i] < 0) | (probe[i] != probe[i + d])) & (mark[i] != mark[i + d]) & close_pairs(fp[i], fp[i + d], radius)]
+        i = i[((probe[i] < 0) | (probe[i] != probe[i + d])) & (fp[i] != fp[i + d]) & close_pairs(fp[i], fp[i + d], radius)]
         a.append(fp[i])
         b.append(fp[i + d])
     for s, size in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
         f, q = fp[s : s + size], probe[s : s + size]
         p, i = np.flatnonzero(q != 0), np.flatnonzero(q < 1)
         if len(p) and len(i):
-            (x, px), (y, iy) = np.unique(f[p], return_index=True), np.unique(f[i], return_index=True)
-            m = mark[s : s + size]
-            x, y = dense_links(x, y, radius, m[p][px], m[i][iy])
+            x, y = dense_links(np.unique(f[p]), np.unique(f[i]), radius)
             a.append(x)
             b.append(y)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def _link_batches(radius: int, labelled: bool):
+def _link_batches(radius: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.int64, np.int64, np.int8, np.uint64, np.int64)[: 5 + labelled]
+        kinds = (np.int64, np.int64, np.int64, np.int8, np.uint64)
         held = tuple(np.zeros(0, t) for t in kinds)
 
         def links(cols):
-            part, key, sub, probe, fp, *label = cols
+            part, key, sub, probe, fp = cols
             new = np.ones(len(fp), bool)
             new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
-            a, b = linked(np.cumsum(new), probe, fp, radius, *label)
+            a, b = linked(np.cumsum(new), probe, fp, radius)
             low, high = np.minimum(a, b), np.maximum(a, b)
             if len(low):
                 pairs = np.unique(np.stack([low, high], 1), axis=0)
@@ -286,21 +285,18 @@ def _link_batches(radius: int, labelled: bool):
 def links(fps: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b), a below b as unsigned numbers, of which the links' components are those of all links.
 
-    ``fps``: (fp) distinct, ``n`` of them; with a whole number ``label``, only links of different labels are wanted.
-    Links are complete but inside one value's dense group, where a spanning forest stands for them."""
+    ``fps``: (fp) distinct, ``n`` of them. Links are complete but inside one value's dense group, where a spanning forest stands for them."""
     spark = fps.sparkSession
-    labelled = "label" in fps.columns
-    own_cols = ["fp", *["label"] * labelled]
     plan = make_plan(fps, n, radius)
     rows, index = None, None
     for k, (bits, t) in enumerate(plan.parts):
         mask = signed(mask_of(bits))
-        own = fps.select(F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"), F.lit(0 if t else -1).cast("byte").alias("probe"), *own_cols)
+        own = fps.select(F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key"), F.lit(0 if t else -1).cast("byte").alias("probe"), "fp")
         index = own if index is None else index.unionAll(own)
         if t:
             flips = [signed(mask_of(c)) for j in range(t + 1) for c in combinations(bits, j)]
-            probes = fps.select(*own_cols, F.explode(F.array(*map(F.lit, flips))).alias("flip")).select(
-                F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("key"), F.lit(1).cast("byte").alias("probe"), *own_cols
+            probes = fps.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select(
+                F.lit(k).cast("long").alias("part"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(mask)).alias("key"), F.lit(1).cast("byte").alias("probe"), "fp"
             )
             own = own.unionAll(probes)
         rows = own if rows is None else rows.unionAll(own)
@@ -318,12 +314,12 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK) -> D
             .when(F.col("probe") == 0, F.col("i") * F.col("blocks") + F.col("j"))
             .otherwise(F.col("j") * F.col("blocks") + F.col("i"))
         )
-        rows = rows.select("part", "key", sub.alias("sub"), "probe", *own_cols)
+        rows = rows.select("part", "key", sub.alias("sub"), "probe", "fp")
     else:
-        rows = rows.select("part", "key", F.lit(0).cast("long").alias("sub"), "probe", *own_cols)
+        rows = rows.select("part", "key", F.lit(0).cast("long").alias("sub"), "probe", "fp")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "part", "key", "sub").sortWithinPartitions("part", "key", "sub", "probe")
-    return dealt.mapInArrow(_link_batches(radius, labelled), "a long, b long")
+    return dealt.mapInArrow(_link_batches(radius), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -407,39 +403,189 @@ def _similar(least: float):
     return batches
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, block: int = BLOCK
-) -> DataFrame:
-    """(id, component_id) of the rows that follow another in a group (the first one isn't listed): joined by candidates within ``radius`` bits, of which
-    those stay whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``, exactly.
+def _describe(words: int):
+    """Of each text (node, digest of its set, its least hashes); and (token, n) of the shingles that several texts of
+    a chunk have."""
+    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("least", pa.list_(pa.int64())), ("token", pa.int64()), ("n", pa.int64())])
+
+    def rows(many: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(many, f.type) for f in schema], schema=schema)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def common_ones() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.clear()
+            return rows(int((n > 1).sum()), token=pa.array(token[n > 1].view(np.int64)), n=pa.array(n[n > 1]))
+
+        for b in it:
+            digests, least = [], []
+            for x in b.column(1):
+                s = shingle_hashes(x.as_py(), words)
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                least.append(s[:STARS].view(np.int64))
+                held.append(s)
+                size += len(s)
+                if size >= CHUNK:
+                    yield common_ones()
+                    size = 0
+            yield rows(b.num_rows, node=b.column(0), digest=pa.array(digests, pa.binary()), least=pa.array(least, pa.list_(pa.int64())))
+        yield common_ones()
+
+    return batches
+
+
+def prefix(hashes: np.ndarray, tokens: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, so many that two sets of similarity ``least`` share one of them.
+    tokens: sorted, with their counts; others count as none."""
+    at = np.minimum(np.searchsorted(tokens, hashes), max(len(tokens) - 1, 0))
+    n = np.where(tokens[at] == hashes, counts[at], 0) if len(tokens) else np.zeros(len(hashes), np.int64)
+    order = np.lexsort([hashes, n])
+    return hashes[order[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]]
 
-    Texts with one fingerprint are candidates with the one with the smallest id. Rows without an id are in no group;
-    rows that repeat an id count as one, by one of their texts. Empty texts are alike. Empty table: empty result."""
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).filter("node IS NOT NULL").dropDuplicates(["node"])
-    marked = common.materialize(fingerprints(rows, "node", "t"), "fingerprints")
-    by_fp = common.materialize(marked.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_fp")
-    n, total = by_fp.agg(F.count(F.lit(1)), F.sum("docs")).first()
-    rep = lambda fp, name: by_fp.select(F.col("fp").alias(fp), F.col("rep").alias(name))
 
-    def between(found: DataFrame) -> DataFrame:
-        return found.join(rep("fa", "a_rep"), F.col("a") == F.col("fa")).join(rep("fb", "b_rep"), F.col("b") == F.col("fb")).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+def _prefixes(words: int, shared, least: float):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = shared.value
+        for b in it:
+            sets = [shingle_hashes(x.as_py(), words) for x in b.column(1)]
+            firsts = [prefix(s, tokens, counts, least).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(firsts, pa.binary())], names=["node", "size", "firsts"])
+
+    return batches
+
+
+def _postings(shared, block: int):
+    """(token, sub, place, size, node, label) of each prefix; the texts of a token that more than ``block`` share are
+    split into pairs of blocks, numbered by ``sub``."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = shared.value
+        tokens, blocks = tokens[counts > block], -(-counts[counts > block] // block)
+        for b in it:
+            firsts = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
+            lengths = np.array([len(x) for x in firsts], np.int64)
+            if not lengths.sum():
+                continue
+            token = np.concatenate(firsts)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            node, size, label = (np.repeat(b.column(i).to_numpy(), lengths) for i in (0, 1, 3))
+            many = np.ones(len(token), np.int64)
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+                many = np.where(tokens[at] == token, blocks[at], 1)
+            row = np.repeat(np.arange(len(token)), many)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            i = np.array([xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True)) for x in node[row]], np.uint64) % many[row].astype(np.uint64) if len(row) > len(token) else j
+            i = i.astype(np.int64)
+            sub = np.minimum(i, j) * many[row] + np.maximum(i, j)
+            for k in range(0, len(row), 1 << 18):
+                r = row[k : k + (1 << 18)]
+                cols = [token.view(np.int64)[r], sub[k : k + (1 << 18)], place[r], size[r], node[r], label[r]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "sub", "place", "size", "node", "label"])
+
+    return batches
+
+
+def overlapping(group: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, label: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes inside each run of equal ``group`` values, of different labels, that can be as similar as
+    ``least`` if the shared token is the first one they share; in bounded lots."""
+    n = len(group)
+    left, share = size - place, least / (1 + least)
+
+    def apart(i, j):
+        return (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= share * (size[i] + size[j]) - 1e-6)
+
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
+    small = np.repeat(sizes, sizes) <= _SMALL
+    for d in range(1, min(_SMALL, int(sizes.max(initial=0)))):
+        i = np.flatnonzero(small[: n - d] & (group[: n - d] == group[d:]))
+        if not len(i):
+            break
+        i = i[apart(i, i + d)]
+        yield node[i], node[i + d]
+    for s, many in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
+        labels, at = np.unique(label[s : s + many], return_inverse=True)
+        rest = s + np.flatnonzero(at != np.bincount(at).argmax())  # the largest group's texts need no comparison
+        every = np.arange(s, s + many)
+        rows = max(1, (1 << 20) // many)
+        for k in range(0, len(rest) if len(labels) > 1 else 0, rows):
+            i, j = np.nonzero(apart(rest[k : k + rows, None], every[None, :]))
+            yield node[rest[k + i]], node[every[j]]
+
+
+def _pairs(least: float):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in range(6)]
+
+        def pairs(cols):
+            token, sub, *rest = cols
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (sub[1:] != sub[:-1])
+            for a, b in overlapping(np.cumsum(new), *rest, least):
+                if len(a):
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in it:
+            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(cols[0]):
+                continue
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            held = [c[last] for c in cols]
+            yield from pairs([c[~last] for c in cols])
+        yield from pairs(held)
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return batches
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(id, component_id) of the rows that follow another in a group (the first one isn't listed): joined by all pairs
+    whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity`` (above 0).
+
+    Candidates are complete by prefix filtering: in any common order of the shingles, two sets so similar share one
+    among the first of each. Rare ones come first, which bears on the cost only. Texts with equal sets are one. Pairs
+    inside a group that is known aren't compared. Rows without an id are in no group; rows that repeat an id count as
+    one, by one of their texts. Empty texts are alike. Empty table: empty result."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).filter("node IS NOT NULL").dropDuplicates(["node"])
+    rows = common.materialize(rows.select("node", common.text_or_empty("t").cast("binary").alias("raw")), "texts")
+    described = common.materialize(rows.mapInArrow(_describe(words), "node long, digest binary, least array<long>, token long, n long"), "described")
+    sets = described.filter("node IS NOT NULL")
+    by_set = common.materialize(sets.groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_set")
+    total = by_set.agg(F.sum("docs")).first()[0] or 0
+    own = common.materialize(common.lookup_join(sets.select("node", "digest", "least"), by_set, ["digest"], "docs", total).select("node", "rep", "least"), "own")
+    same = own.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    reps = own.filter("node = rep")
+    hot = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(MOST_ORDERED).toArrow()
+    tokens, counts = np.ascontiguousarray(hot.column("token").to_numpy()).view(np.uint64), hot.column("n").to_numpy()
+    order = np.argsort(tokens)
+    shared = spark.sparkContext.broadcast((tokens[order], counts[order]))
 
     def verified(edges: DataFrame) -> DataFrame:
-        edges = common.materialize(edges, "candidates")
+        edges = common.materialize(edges.distinct(), "candidates")
         ends = edges.select(F.col("a").alias("end")).distinct().unionAll(edges.select("b").distinct()).distinct()
-        texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", common.text_or_empty("t").cast("binary").alias("raw"))
-        sets = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
-        side = lambda x: sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+        texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi")
+        found = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
+        side = lambda x: found.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
         both = edges.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
         return common.materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "verified")
 
-    # closely alike first: within the groups they make, no further links are needed, so wider radii add few
-    same = common.lookup_join(marked, by_fp, ["fp"], "docs", total or 0).filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    close = verified(between(links(by_fp.select("fp"), n, min(radius, RADIUS), block).distinct()).unionAll(same))
-    for wider in [*range(2 * RADIUS, radius, RADIUS), *[radius] * (radius > RADIUS)]:
-        labelled = by_fp.join(components(close), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("label"))
-        close = close.unionAll(verified(between(links(common.materialize(labelled, "labels"), n, wider, block).distinct())))
-    return components(close).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    # first each text with the first one that shares a least hash: inside the groups so made no pairs are needed
+    least = reps.select("node", F.explode("least").alias("token"))
+    stars = common.materialize(least.groupBy("token").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "stars")
+    close = verified(common.lookup_join(least, stars, ["token"], "docs", stars.agg(F.sum("docs")).first()[0] or 0).filter("centre < node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    packed = rows.mapInArrow(_prefixes(words, shared, similarity), "node long, size long, firsts binary").join(reps.select(F.col("node").alias("own")), F.col("node") == F.col("own"), "left_semi")
+    roots = components(close).withColumnRenamed("node", "member")
+    labelled = common.materialize(packed.join(roots, F.col("node") == F.col("member"), "left").select("node", "size", "firsts", F.coalesce("root", "node").alias("label")), "prefixes")
+    postings = labelled.mapInArrow(_postings(shared, block), "token long, sub long, place long, size long, node long, label long")
+    dealt = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "sub").sortWithinPartitions("token", "sub")
+    wide = verified(dealt.mapInArrow(_pairs(similarity), "a long, b long"))
+    return components(close.unionAll(wide).unionAll(same)).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 
 def query(spark, sf_dir):

@@ -138,3 +138,51 @@ def brute_groups(ids, alike):
     for i in ids:
         groups.setdefault(find(i), set()).add(i)
     return [g for g in groups.values() if len(g) > 1]
+
+
+def test_groups_by_similarity_are_complete(spark, monkeypatch):
+    """Near copies at the edge of the similarity, of which many fingerprints are far apart, and a common passage."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(40)]
+    rows = []
+    for g in range(80):
+        base = [rng.choice(words) for _ in range(rng.choice([12, 40, 200]))] + passage
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 5):
+            near = list(base)
+            for _ in range(max(1, len(base) * 11 // 500)):  # about a tenth of the shingles
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((10 * g + k, " ".join(near)))
+    assert similar_ids(spark, rows) == wanted(rows)
+    monkeypatch.setattr(simhash, "OFTEN", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs, block=7).collect()} == wanted(rows)
+
+
+def similar_ids(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def wanted(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    return {i: min(g) for g in brute_groups(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8) for i in g if i != min(g)}
+
+
+def test_large_group_whose_first_text_is_not_alike_to_all(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    rows = []
+    for i in range(300):  # each has lost a passage of its own: alike to its neighbours, not to those further off
+        rows.append((i, " ".join(base[:i] + base[i + 80 :])))
+    assert similar_ids(spark, rows) == wanted(rows)
+
+
+def test_texts_of_one_fingerprint_are_compared_with_each_other(spark):
+    passage = [f"p{i}" for i in range(31)]
+    tail = [f"a{i}" for i in range(25)]
+    texts = [[*passage * 60, *[f"r{i}" for i in range(25)]], [*passage * 60, *tail], [*passage * 60, *tail[:-1], "b"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert len({simhash.fingerprint(t.encode()) for _, t in rows}) == 1
+    assert similar_ids(spark, rows) == wanted(rows) == {2: 1}
