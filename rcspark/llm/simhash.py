@@ -44,6 +44,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: These bear on its cost only: least hashes of a text that are tried first, shingles counted at once, and the shingles
 #: ordered by their counts: from which count, and how many at most.
 STARS, CHUNK, OFTEN, MOST_ORDERED = 4, 2_000_000, 8, 200_000
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -403,10 +405,33 @@ def _similar(least: float):
     return batches
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each bit: two sketches differ in at most as many bits as their sets
+    in shingles."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _possible(least: float):
+    """Drops the pairs whose sizes or sketches rule out the similarity."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            differ = np.maximum(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), np.abs(n - m))
+            keep = pa.array(differ <= (1 - least) / (1 + least) * (n + m) + 1e-6)
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+    return batches
+
+
 def _describe(words: int):
-    """Of each text (node, digest of its set, its least hashes); and (token, n) of the shingles that several texts of
+    """Of each text (node, digest of its set, its size, sketch and least hashes); and (token, n) of the shingles that several texts of
     a chunk have."""
-    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("least", pa.list_(pa.int64())), ("token", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("least", pa.list_(pa.int64())), ("token", pa.int64()), ("n", pa.int64())])
 
     def rows(many: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(many, f.type) for f in schema], schema=schema)
@@ -421,17 +446,19 @@ def _describe(words: int):
             return rows(int((n > 1).sum()), token=pa.array(token[n > 1].view(np.int64)), n=pa.array(n[n > 1]))
 
         for b in it:
-            digests, least = [], []
+            digests, sizes, sketches, least = [], [], [], []
             for x in b.column(1):
                 s = shingle_hashes(x.as_py(), words)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                sketches.append(sketch(s))
                 least.append(s[:STARS].view(np.int64))
                 held.append(s)
                 size += len(s)
                 if size >= CHUNK:
                     yield common_ones()
                     size = 0
-            yield rows(b.num_rows, node=b.column(0), digest=pa.array(digests, pa.binary()), least=pa.array(least, pa.list_(pa.int64())))
+            yield rows(b.num_rows, node=b.column(0), digest=pa.array(digests, pa.binary()), size=pa.array(sizes, pa.int64()), sketch=pa.array(sketches, pa.binary()), least=pa.array(least, pa.list_(pa.int64())))
         yield common_ones()
 
     return batches
@@ -554,7 +581,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).filter("node IS NOT NULL").dropDuplicates(["node"])
     rows = common.materialize(rows.select("node", common.text_or_empty("t").cast("binary").alias("raw")), "texts")
-    described = common.materialize(rows.mapInArrow(_describe(words), "node long, digest binary, least array<long>, token long, n long"), "described")
+    described = common.materialize(rows.mapInArrow(_describe(words), "node long, digest binary, size long, sketch binary, least array<long>, token long, n long"), "described")
     sets = described.filter("node IS NOT NULL")
     by_set = common.materialize(sets.groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_set")
     total = by_set.agg(F.sum("docs")).first()[0] or 0
@@ -567,8 +594,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast((tokens[order], counts[order]))
 
     def verified(edges: DataFrame) -> DataFrame:
-        edges = common.materialize(edges.distinct(), "candidates")
-        ends = edges.select(F.col("a").alias("end")).distinct().unionAll(edges.select("b").distinct()).distinct()
+        of = lambda x: sets.select(F.col("node").alias(f"n{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        sketched = edges.distinct().join(of("a"), F.col("a") == F.col("na")).join(of("b"), F.col("b") == F.col("nb")).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+        edges = common.materialize(sketched.mapInArrow(_possible(similarity), "a long, b long"), "candidates")
+        ends = common.materialize(edges.select(F.col("a").alias("end")).distinct().unionAll(edges.select("b").distinct()).distinct(), "ends")  # its size tells whether to broadcast it
         texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi")
         found = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
         side = lambda x: found.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
