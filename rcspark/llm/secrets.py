@@ -9,6 +9,7 @@ its length. Prose, identifiers and repeated values are nearly free; random strin
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -50,14 +51,26 @@ _TO_X = bytes(0x78 if chr(c) in "0123456789abcdef" else 0x20 for c in range(256)
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of text[start:end], given its surroundings and the identifiers, by its length."""
+    """Marginal compressed bytes of text[start:end], given its surroundings and the identifiers, by its length. Exact
+    repeats further on are no surroundings."""
     candidate = text[start:end].encode()
-    around = text[max(0, start - AROUND_CHARS) : start] + " " + text[end : end + AROUND_CHARS]
+    around = text[max(0, start - AROUND_CHARS) : start] + " " + text[end : end + AROUND_CHARS].replace(text[start:end], "")
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
     return (len(pack.compress(candidate)) - len(pack.compress(b""))) / len(candidate)
 
 
+def least_novelty(candidate: str) -> float:
+    """What a random string of the candidate's alphabet reaches at any length: zstandard's entropy coder brings long
+    ones down to the bits of a character, but no lower."""
+    runs = (("0", "9", "9"), ("a", "f", "z"), ("A", "F", "Z"))
+    size = len({c for c in candidate if not c.isalnum()})
+    for low, high, end in runs:
+        top = max((c for c in candidate if low <= c <= end), default="")
+        size += (ord(high if top <= high else end) - ord(low) + 1) if top else 0
+    return min(LEAST_NOVELTY, math.log2(size) / 8)
+
+
 def _mixed(candidate: str) -> bool:
     """Of two of the three classes: lower case, upper case, digits."""
     return any(c.isdigit() for c in candidate) + any("a" <= c <= "z" for c in candidate) + any("A" <= c <= "Z" for c in candidate) >= 2
@@ -79,13 +92,16 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if any(w in low for w in CONTEXT_WORDS):
         base = sorted(found)
         last = -1
+        novel: set[str] = set()  # shown again after a sensitive word, they are reported again
         for c in CONTEXT.finditer(text):
             for m in CANDIDATE.finditer(text, max(c.end(), last), c.end() + CONTEXT_CHARS):
                 start, end = m.span()
                 if end == c.end() + CONTEXT_CHARS:  # cut off by the search's end
                     end = CANDIDATE.match(text, start).end()
                 last = max(last, end)
-                if _mixed(text[start:end]) and not any(s < end and start < e for s, e, _ in base) and novelty(text, start, end) >= LEAST_NOVELTY:
+                value = text[start:end]
+                if _mixed(value) and not any(s < end and start < e for s, e, _ in base) and (value in novel or novelty(text, start, end) >= least_novelty(value)):
+                    novel.add(value)
                     found.append((start, end, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(set(found), key=lambda x: (x[0], x[2], x[1]))]
 

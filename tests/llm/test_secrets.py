@@ -48,3 +48,17 @@ def test_odd_rows(spark, odd_docs):
     docs = spark.createDataFrame([(1, f"token={KEY}"), (2, None), (3, "")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.scan(docs, redact=True).collect()} == {1: "[SECRET]", 2: None, 3: ""}
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_long_random_strings_of_a_small_alphabet_are_novel():
+    rng = random.Random(4)
+    for letters, length in (("0123456789ABCDEF", 96), ("0123456789ABCDEF", 128), ("0123456789abcdefABCDEF", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 256)):
+        for _ in range(20):
+            key = "".join(rng.choice(letters) for _ in range(length))
+            assert [k for *_, k in secrets.find(f"private key {key} end")] == ["novel"]
+    assert secrets.find("private key " + "AB12" * 32) == []
+
+
+def test_secrets_shown_twice_are_reported_each_time():
+    text = f"private key {KEY} and again, bearer {KEY} end"
+    assert [text[s:e] for s, e, _ in secrets.find(text)] == [KEY, KEY]
