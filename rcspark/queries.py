@@ -711,6 +711,6 @@ def numpy_reservoir_fit(spark, sf_dir):
 
 @query()
 def parametric_fit(spark, sf_dir):
-    s = src.region_orders(spark, sf_dir).filter(F.col("t") < 230)
+    s = src.region_orders(spark, sf_dir)
     m = plans.fit(s, Config(2, n_param=2, mode="ragged", n_units=30, upsample=1, n_wash=10, t_val=20.0, t_test=0.0, noise=0.0, optimize=(), optimize_parameter_normalization=False, sigma_in=0.1, tikh=1e-4))
     return plans.training_summary(spark, m)

@@ -50,3 +50,16 @@ def test_entry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "reservoir_user_nmae" in entry.queries()
+
+
+def test_parametric_fit_trains_on_whole_segments(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(series, cfg):
+        raise Seen(series.count())
+
+    monkeypatch.setattr(queries.plans, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        queries.QUERIES["parametric_fit"](spark, SF_DIR)
+    assert seen.value.args == (queries.src.region_orders(spark, SF_DIR).count(),)
