@@ -26,7 +26,7 @@ def jacobians(series: DataFrame, model: Reservoir, w_out: np.ndarray | None, n_i
 
     def use(it):
         last = np.zeros(model.n_units)
-        for b, number, r in it:
+        for b, number, r, _ in it:
             u = matrix_of(b.column(2), n_in)
             before = np.concatenate([last[None], r[:-1]])
             before[number == 0] = 0

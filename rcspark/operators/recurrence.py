@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import literal
@@ -109,27 +109,47 @@ class Carry:
         self.seen = int(before[-1] + np.count_nonzero(group == group[-1]))
 
 
-def scan(df: DataFrame, keys: Sequence[str], model: Reservoir, n_in: int, use: Callable, schema: str, cand: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+def blocks_for(spark: SparkSession, n_cand: int, n_keys: int) -> int:
+    """Into how many blocks candidates are dealt: one while there are keys enough to keep all cores busy, as each
+    block needs the rows once more."""
+    return max(1, min(n_cand, -(-spark.sparkContext.defaultParallelism // max(n_keys, 1))))
+
+
+def in_blocks(df: DataFrame, n_blocks: int) -> DataFrame:
+    """``df`` for each block of candidates, which ``cand`` numbers."""
+    return df.withColumn("cand", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+
+
+def scan(df: DataFrame, keys: Sequence[str], model: Reservoir, n_in: int, use: Callable, schema: str, cand: str | None = None, n_blocks: int = 1, extra: Sequence[str] = ()) -> DataFrame:
     """Drives the reservoir from r = 0 along each key's rows. ``df``: keys, t, u, and ``extra`` columns.
 
-    ``use(batches)`` gets an iterator of (record batch, row number in the key, states) and yields record batches of
-    ``schema``. Keys are whole numbers. ``cand``: the key that picks the row's candidate settings."""
+    ``use(batches)`` gets an iterator of (record batch, row number in the key, states, candidate) and yields record
+    batches of ``schema``. Keys are whole numbers. ``cand``: the key with the block of candidates that a row is for,
+    of ``n_blocks``; candidate c is of block c modulo n_blocks, and a task goes through a block's candidates for each
+    batch, holding one state of each. Without it there is one candidate."""
     cols = [*keys, "t", "u", *extra]
     place = list(keys).index(cand) if cand else None
+    n_cand = len(model.rho)
 
     def driven(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        carry = Carry()
-        for b in it:
-            if not b.num_rows:
+        carries: dict[int, Carry] = {}
+        for whole in it:
+            if not whole.num_rows:
                 continue
-            key = np.stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(len(keys))], 1)
-            group, r0, before = carry.enter(key, model.n_units)
-            picked = key[:, place] if cand else np.zeros(len(key), np.int64)
-            states = lock_step(group, model.inputs(matrix_of(b.column(len(keys) + 1), n_in)), picked, r0, model.advance)
-            starts = np.searchsorted(group, np.arange(group[-1] + 1))
-            number = before[group] + np.arange(len(group)) - starts[group]
-            carry.leave(key, group, before, states)
-            yield b, number, states
+            block = np.asarray(whole.column(place).to_numpy(zero_copy_only=False), np.int64) if cand else np.zeros(whole.num_rows, np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), whole.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                b = whole.slice(at, end - at)
+                key = np.stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(len(keys))], 1)
+                inputs = model.inputs(matrix_of(b.column(len(keys) + 1), n_in))
+                own = range(int(block[at]), n_cand, n_blocks) if cand else [0]
+                carries = {c: carries.get(c) or Carry() for c in own}
+                for c in own:
+                    group, r0, before = carries[c].enter(key, model.n_units)
+                    states = lock_step(group, inputs, np.full(len(key), c), r0, model.advance)
+                    number = before[group] + np.arange(len(group)) - np.searchsorted(group, np.arange(group[-1] + 1))[group]
+                    carries[c].leave(key, group, before, states)
+                    yield b, number, states, c
 
     return dealt(df.select(*cols), keys).mapInArrow(lambda it: use(driven(it)), schema)
 
@@ -138,7 +158,7 @@ def states(series: DataFrame, model: Reservoir, n_in: int, n_wash: int) -> DataF
     """(seg_id, t, r): the state after each input from the row n_wash on, the segment's rows before it washing out."""
 
     def use(it):
-        for b, number, r in it:
+        for b, number, r, _ in it:
             keep = number >= n_wash
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)), list_array(r[keep])], names=["seg_id", "t", "r"])
 
@@ -193,12 +213,17 @@ def closed_loop(model: Reservoir, w_out: np.ndarray, r: np.ndarray, steps: int,
     return out
 
 
-def forecast(windows: DataFrame, model: Reservoir, w_out: np.ndarray, n_in: int, steps: int, observed: Sequence[int], n_wash: int, keys: Sequence[str] = ("seg_id", "i0"), cand: str | None = None) -> DataFrame:
+def forecast(
+    windows: DataFrame, model: Reservoir, w_out: np.ndarray, n_in: int, steps: int, observed: Sequence[int], n_wash: int, keys: Sequence[str] = ("seg_id", "i0"),
+    cand: str | None = None, n_blocks: int = 1, hold: str | None = None,
+) -> DataFrame:
     """Washes out along each key's n_wash rows, then forecasts ``steps`` steps: (keys, w, step, row_t, yhat).
 
     ``windows``: keys, t, u, of n_wash rows for each key; shorter ones give nothing. w_out: (n, n_units + 1, n_dim), one
-    or several readouts w, by candidate if ``cand`` names a key: (candidates, n, ...). Forecast i belongs to the row
-    row_t = last washed row + 2 + i of the series, as the last readout itself is the row after it.
+    or several readouts w, by candidate if ``cand`` names a key, which has the blocks of candidates and becomes the
+    candidate: (candidates, n, ...). Parameters are held as in the column ``hold``, else as in the last washed row.
+    Forecast i belongs to the row row_t = last washed row + 2 + i of the series, as the last readout itself is the row
+    after it.
     """
     w_out = np.asarray(w_out)
     place = list(keys).index(cand) if cand else None
@@ -206,18 +231,21 @@ def forecast(windows: DataFrame, model: Reservoir, w_out: np.ndarray, n_in: int,
     n_param = n_in - len(observed)
 
     def use(it):
-        for b, number, r in it:
+        for b, number, r, c in it:
             end = np.flatnonzero(number == n_wash - 1)
             if not len(end):
                 continue
             key = np.stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64)[end] for i in range(len(keys))], 1)
+            if cand:
+                key[:, place] = c
             t = np.asarray(b.column(len(keys)).to_numpy(zero_copy_only=False), np.int64)[end]
-            u = matrix_of(b.column(len(keys) + 1), n_in)[end]
-            outs = w_out[key[:, place]] if cand else np.broadcast_to(w_out, (len(end), *w_out.shape))
-            n_w = outs.shape[1]
+            held = None
+            if n_param:
+                held = matrix_of(b.column(len(keys) + 2), n_param)[end] if hold else matrix_of(b.column(len(keys) + 1), n_in)[end][:, len(observed) :]
+            outs = w_out[c] if cand else w_out
+            n_w = len(outs)
             rep = np.repeat(np.arange(len(end)), n_w)
-            picked = key[rep, place] if cand else 0
-            y = closed_loop(model, outs.reshape(-1, *outs.shape[2:]), r[end][rep], steps, observed, u[rep][:, len(observed) :] if n_param else None, picked)
+            y = closed_loop(model, np.concatenate([outs] * len(end)), r[end][rep], steps, observed, None if held is None else held[rep], c)
             at = np.repeat(rep, steps)
             step = np.tile(np.arange(steps), len(rep))
             columns = [pa.array(key[at, i]) for i in range(len(keys))]
@@ -225,4 +253,4 @@ def forecast(windows: DataFrame, model: Reservoir, w_out: np.ndarray, n_in: int,
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"{k} long" for k in names[:-1]) + ", yhat array<double>"
-    return scan(windows, list(keys), model, n_in, use, schema, cand)
+    return scan(windows, list(keys), model, n_in, use, schema, cand, n_blocks, [hold] if hold else ())

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,23 +14,26 @@ from ..config import Config
 from . import model as m
 
 
-def fit_seeds(series: DataFrame, cfg: Config, n_seeds: int, strategy: str | Callable = "recycle", **kw) -> tuple[m.Model, DataFrame]:
-    """The best of ``n_seeds`` models from consecutive seeds, and (seed, score). Each one's jobs are distributed, so
-    seeds follow one another. Without a search the score is one validation with the configured ridge candidates. NaN
-    scores are never best."""
+def fit_seeds(series: DataFrame, cfg: Config, n_seeds: int, strategy: str | Callable = "recycle", at_once: int = 4, add_noise: bool = True, **kw) -> tuple[m.Model, DataFrame]:
+    """The best of ``n_seeds`` models from consecutive seeds, and (seed, score, log10_score). ``at_once`` seeds run
+    side by side: each one's jobs are distributed, and the cores that one leaves idle between its searches' steps serve
+    another. Without a search the score is one validation with the configured ridge candidates. NaN scores are never
+    best."""
     from .search import evaluate
 
-    found = []
-    for seed in range(cfg.seed, cfg.seed + n_seeds):
-        model = m.fit(series, cfg.with_(seed=seed), strategy, **kw)
+    def one(seed: int) -> tuple[float, int, m.Model]:
+        model = m.fit(series, cfg.with_(seed=seed), strategy, add_noise, **kw)
         if model.trace:
-            score = min(x["loss"] for x in model.trace)
-        else:
-            data = m.prepare(series, cfg.with_(seed=seed))
-            probe = m.Model(model.cfg.with_(optimize=("tikh",)), model.w_in, model.w, None, model.norm, model.shift)
-            score = evaluate(probe, data.train, strategy, [], [[]])[0][0]
-        found.append((score, seed, model))
+            losses = [x["loss"] for x in model.trace if x["loss"] == x["loss"]]
+            return min(losses, default=float("nan")), seed, model
+        data = m.prepare(series, cfg.with_(seed=seed), add_noise)
+        probe = m.Model(model.cfg.with_(optimize=("tikh",)), model.w_in, model.w, None, model.norm, model.shift)
+        return evaluate(probe, data.train, strategy, [], [[]])[0][0], seed, model
+
+    with ThreadPoolExecutor(max(1, min(at_once, n_seeds))) as pool:
+        found = list(pool.map(inheritable_thread_target(series.sparkSession)(one), range(cfg.seed, cfg.seed + n_seeds)))
     scores = series.sparkSession.createDataFrame([(s, float(x)) for x, s, _ in found], "seed long, score double")
+    scores = scores.withColumn("log10_score", F.when(F.col("score") > 0, F.log10("score")))
     valid = [f for f in found if f[0] == f[0]]
     return min(valid or found, key=lambda f: (f[0], f[1]))[2], scores
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from ..operators import folds as fold_ops
 from ..operators import frames, recurrence, ridge, stats, weights
 
 
+#: An inferred validation window of fewer steps is warned of.
+LEAST_WINDOW = 10
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Training pairs (seg_id, t, u, y) from 0 in each segment, test pairs, resolved configuration and statistics."""
@@ -44,6 +50,12 @@ class Model:
     def trained(self) -> bool:
         return self.w_out is not None
 
+    def closing_matrix(self) -> np.ndarray:
+        """(n_dim, n_units): the least-squares solution X of (the states' part of the readout) X = W."""
+        if not self.trained:
+            raise ValueError("the model must be trained")
+        return np.linalg.lstsq(self.w_out[:-1], self.w, rcond=None)[0]
+
     def reservoir(self, rho=None, sigma_in=None, leak_rate=None) -> recurrence.Reservoir:
         one = lambda given, own: np.atleast_1d(np.asarray(own if given is None else given, float))
         c = self.cfg
@@ -71,6 +83,8 @@ def prepare(series: DataFrame, cfg: Config, add_noise: bool = True) -> Prepared:
     else:
         row = frames.split_summary(lengths, cfg.n_wash, cfg.t_test).first()
         n_val = cfg.n_val if cfg.t_val is not None else int(row.n_val)
+        if cfg.t_val is None and n_val < LEAST_WINDOW:
+            warnings.warn(f"the inferred validation window has only {n_val} steps: segments hardly outlast the wash-out of {cfg.n_wash}; give longer ones, or t_val", stacklevel=2)
         both = frames.ragged_split(s, cfg.n_wash, cfg.t_test)
         train = both.filter("role = 'train'")
         test = both.filter("role = 'test'") if row.n_test else train
@@ -117,24 +131,31 @@ class Candidates:
         return len(self.rho)
 
 
-def replicate(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("cand", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-
-
 def score_recycle(model: Model, train: DataFrame, cands: Candidates, how: str | Callable | None = None) -> DataFrame:
     """(cand, tikh_idx, loss, n_folds): mean metric over all segments' folds.
 
     One pass gathers the Gram sums of all candidates, one more washes out and forecasts all folds, with the ridge
-    candidates side by side, as wash-out doesn't depend on them. Truth and metric are joins and aggregates."""
+    candidates side by side, as wash-out doesn't depend on them. The rows are dealt once, or as many times as it takes
+    to keep the cores busy, whatever the number of candidates. Parameters are held as in a segment's first row. Truth
+    and metric are joins and aggregates."""
     cfg = model.cfg
     many = model.reservoir(cands.rho, cands.sigma_in, cands.leak_rate)
-    sums = ridge.collect_gram(ridge.gram(replicate(train, len(cands)), many, cfg.n_dim_in, cfg.n_dim, cfg.n_wash, ["cand", "seg_id"], "cand"), cfg.n_units, cfg.n_dim)
-    w_out = np.stack([np.stack([ridge.solve(sums[c, 0], t) for t in cands.tikh]) for c in range(len(cands))])
     lengths = train.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n_steps"))
     places = fold_ops.recycle(lengths, cfg.n_wash, cfg.n_val, cfg.n_folds)
-    wash = train.select("seg_id", "t", "u").join(places, "seg_id").filter((F.col("t") >= F.col("p")) & (F.col("t") < F.col("wash_to")))
-    wash = replicate(wash.select("seg_id", "fold", "t", "u"), len(cands))
-    got = recurrence.forecast(wash, many, w_out, cfg.n_dim_in, cfg.n_val, cfg.observed_idx, cfg.n_wash, ["cand", "seg_id", "fold"], "cand")
+    blocks = recurrence.blocks_for(train.sparkSession, len(cands), lengths.count())
+    sums = ridge.gram(recurrence.in_blocks(train, blocks), many, cfg.n_dim_in, cfg.n_dim, cfg.n_wash, ["cand", "seg_id"], "cand", n_blocks=blocks)
+    sums = ridge.collect_gram(sums, cfg.n_units, cfg.n_dim)
+    w_out = np.stack([np.stack([ridge.solve(sums[c, 0], t) for t in cands.tikh]) for c in range(len(cands))])
+    washed = places.select("seg_id", "fold", F.explode(F.sequence("p", F.col("wash_to") - 1)).alias("t")) if cfg.n_wash else places.limit(0).select("seg_id", "fold", F.col("p").alias("t"))
+    wash = train.select("seg_id", "t", "u").join(washed, ["seg_id", "t"]).select("seg_id", "fold", "t", "u")
+    hold = None
+    if cfg.n_param:
+        hold = "held"
+        first = train.filter("t = 0").select("seg_id", F.slice("u", len(cfg.observed_idx) + 1, cfg.n_param).alias(hold))
+        wash = wash.join(first, "seg_id")
+    got = recurrence.forecast(
+        recurrence.in_blocks(wash, blocks), many, w_out, cfg.n_dim_in, cfg.n_val, cfg.observed_idx, cfg.n_wash, ["cand", "seg_id", "fold"], "cand", blocks, hold
+    )
     # the last washed input t leads to the state t + 1; forecast i to the target of pair t + 1 + i
     truth = train.select(F.col("seg_id").alias("y_seg"), (F.col("t") + 1).alias("y_t"), "y")
     ranges = train.select("seg_id", F.posexplode("y").alias("dim", "x")).groupBy("seg_id", "dim").agg((F.max("x") - F.min("x")).alias("range"))
@@ -148,19 +169,23 @@ def score_single_series(model: Model, train: DataFrame, cands: Candidates, strat
     """As ``score_recycle`` for one contiguous segment and the strategies of ``folds.SINGLE_SERIES``.
 
     One open-loop pass serves all folds and candidates: each row's products go to the interval between two fold
-    borders, and a fold's sums are those of its intervals. It also yields the states that forecasts start from."""
-    cfg, spark = model.cfg, train.sparkSession
+    borders, and a fold's sums are those of its intervals. A second pass forecasts from the states at the folds' starts,
+    in the tasks that have them."""
+    cfg = model.cfg
     shape = train.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")).limit(2).collect()
     if len(shape) != 1:
         raise ValueError(f"{strategy} needs one contiguous series; use 'recycle' for several segments")
     n_post, v = int(shape[0].n) - cfg.n_wash, cfg.n_val
     table = fold_ops.single_series_table(strategy, n_post, v, cfg.n_folds, cfg.val_fold_step)
+    if len(table) < cfg.n_folds and strategy != "single_shot":
+        warnings.warn(f"{strategy}: {len(table)} of {cfg.n_folds} folds fit in {n_post} steps after wash-out, with {v} steps each", stacklevel=2)
     ranges = [fold_ops.train_ranges(f) for f in table]
     borders = sorted({0, n_post} | {x for rs in ranges for r in rs for x in r})
     many = model.reservoir(cands.rho, cands.sigma_in, cands.leak_rate)
     interval = sum((F.when(F.col("t") - cfg.n_wash >= b, 1).otherwise(0) for b in borders[1:]), F.lit(0)).cast("long")
-    rows = replicate(train.withColumn("part", interval), len(cands))
-    sums = ridge.collect_gram(ridge.gram(rows, many, cfg.n_dim_in, cfg.n_dim, cfg.n_wash, ["cand", "seg_id"], "cand", "part"), cfg.n_units, cfg.n_dim)
+    blocks = recurrence.blocks_for(train.sparkSession, len(cands), 1)
+    rows = recurrence.in_blocks(train.withColumn("part", interval), blocks)
+    sums = ridge.collect_gram(ridge.gram(rows, many, cfg.n_dim_in, cfg.n_dim, cfg.n_wash, ["cand", "seg_id"], "cand", "part", blocks), cfg.n_units, cfg.n_dim)
     zero = np.zeros((cfg.n_units + 1, cfg.n_units + 1 + cfg.n_dim))
     prefix = np.stack([np.concatenate([[zero], np.cumsum([sums.get((c, k), zero) for k in range(len(borders) - 1)], 0)]) for c in range(len(cands))])
     at = {b: i for i, b in enumerate(borders)}
@@ -168,34 +193,8 @@ def score_single_series(model: Model, train: DataFrame, cands: Candidates, strat
         np.stack([np.stack([ridge.solve(sum(prefix[c, at[b]] - prefix[c, at[a]] for a, b in rs), t) for t in cands.tikh]) for rs in ranges])
         for c in range(len(cands))
     ])  # candidate, fold, ridge
-    starts = spark.createDataFrame([(f, i0 + cfg.n_wash - 1) for f, _, _, i0, _ in table], "fold long, seed_t long")
-    return _score_from_states(model, train, many, cands, w_out, starts, rows, how)
-
-
-def _score_from_states(model, train, many, cands, w_out, starts, rows, how) -> DataFrame:
-    """Forecasts from the open-loop states at the folds' starts, which are few: candidates times folds."""
-    cfg, spark = model.cfg, train.sparkSession
-    import pyarrow as pa
-
-    wanted = {r.seed_t: r.fold for r in starts.collect()}
-
-    def use(it):
-        for b, _, r in it:
-            t = b.column(2).to_numpy(zero_copy_only=False)
-            pick = np.flatnonzero(np.isin(t, list(wanted)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick)), pa.array([wanted[x] for x in t[pick]], pa.int64()), recurrence.list_array(r[pick])], names=["cand", "fold", "r"])
-
-    first = rows.select("u").filter("t = 0").first()["u"]
-    params = np.array(first[len(cfg.observed_idx) :], float)[None] if cfg.n_param else None
-    seeds = recurrence.scan(rows, ["cand", "seg_id"], many, cfg.n_dim_in, use, "cand long, fold long, r array<double>", "cand").collect()
-    out = []
-    for s in seeds:
-        outs = w_out[s.cand, s.fold]
-        r = np.repeat(np.array(s.r)[None], len(outs), 0)
-        y = recurrence.closed_loop(many, outs, r, cfg.n_val, cfg.observed_idx, None if params is None else np.repeat(params, len(outs), 0), s.cand)
-        seed_t = next(t for t, f in wanted.items() if f == s.fold)
-        out += [(s.cand, s.fold, w, seed_t + 1 + k, y[w, k].tolist()) for w in range(len(outs)) for k in range(cfg.n_val)]
-    got = spark.createDataFrame(out, "cand long, fold long, tikh_idx long, y_t long, yhat array<double>")
+    seeds = {i0 + cfg.n_wash - 1: f for f, _, _, i0, _ in table}
+    got = _forecast_from_states(cfg, rows, many, w_out, seeds, blocks)
     norm = train.select(F.posexplode("y").alias("dim", "x")).groupBy("dim").agg((F.max("x") - F.min("x")).alias("range"))
     norm = F.array(*[F.lit(float(r.range)) for r in norm.orderBy("dim").collect()])
     truth = train.select(F.col("t").alias("y_t"), "y")
@@ -203,6 +202,27 @@ def _score_from_states(model, train, many, cands, w_out, starts, rows, how) -> D
     return each.groupBy("cand", "tikh_idx").agg(F.avg("m").alias("loss"), F.count(F.lit(1)).alias("n_folds"))
 
 
+def _forecast_from_states(cfg: Config, rows: DataFrame, many: recurrence.Reservoir, w_out: np.ndarray, seeds: dict[int, int], blocks: int) -> DataFrame:
+    """(cand, fold, tikh_idx, y_t, yhat): closed loops from the open-loop states after the rows ``seeds`` (t: fold)."""
+    params = None
+    if cfg.n_param:
+        first = rows.select("u").filter("t = 0").first()["u"]
+        params = np.array(first[len(cfg.observed_idx) :], float)[None]
+    n_val, n_ridge = cfg.n_val, w_out.shape[2]
+
+    def use(it):
+        for b, _, r, c in it:
+            t = np.asarray(b.column(2).to_numpy(zero_copy_only=False), np.int64)
+            for i in np.flatnonzero(np.isin(t, list(seeds))):
+                fold = seeds[int(t[i])]
+                y = recurrence.closed_loop(many, w_out[c, fold], np.repeat(r[i][None], n_ridge, 0), n_val, cfg.observed_idx, None if params is None else np.repeat(params, n_ridge, 0), c)
+                n = n_ridge * n_val
+                columns = [np.full(n, c), np.full(n, fold), np.repeat(np.arange(n_ridge), n_val), np.tile(t[i] + 1 + np.arange(n_val), n_ridge)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in columns], recurrence.list_array(y.reshape(n, -1))], names=["cand", "fold", "tikh_idx", "y_t", "yhat"])
+
+    return recurrence.scan(rows, ["cand", "seg_id"], many, cfg.n_dim_in, use, "cand long, fold long, tikh_idx long, y_t long, yhat array<double>", "cand", blocks)
+
+
 #: Name -> (model, train, candidates, metric) -> (cand, tikh_idx, loss, n_folds). Callers may add their own.
 STRATEGIES: dict[str, Callable] = {
     "recycle": score_recycle,
@@ -236,7 +256,8 @@ def forecast_windows(model: Model, series: DataFrame, starts: DataFrame, steps:
     cfg = model.cfg
     s = frames.observe(frames.stride(series, cfg.upsample), cfg.observed_idx)
     s = frames.append_row_params(s) if cfg.n_param else s
-    wash = s.join(starts, "seg_id").filter((F.col("t") >= F.col("i0")) & (F.col("t") < F.col("i0") + cfg.n_wash)).select("seg_id", "i0", "t", "u")
+    washed = starts.filter(F.lit(cfg.n_wash) > 0).select("seg_id", "i0", F.explode(F.sequence("i0", F.col("i0") + cfg.n_wash - 1)).alias("t"))
+    wash = s.join(washed, ["seg_id", "t"]).select("seg_id", "i0", "t", "u")
     got = recurrence.forecast(wash, model.reservoir(), model.w_out[None], cfg.n_dim_in, steps, cfg.observed_idx, cfg.n_wash)
     truth = s.select(F.col("seg_id").alias("y_seg"), F.col("t").alias("y_t"), "y")
     out = got.join(truth, (F.col("seg_id") == F.col("y_seg")) & (F.col("row_t") == F.col("y_t")))
@@ -273,12 +294,13 @@ def readout(states: DataFrame, w_out: np.ndarray, bias_out: float) -> DataFrame:
 
 
 def training_summary(spark: SparkSession, model: Model) -> DataFrame:
-    """One row: how the data was split, and the settings found."""
+    """One row: how the data was split, and the settings found; of the best evaluation its loss and how many folds it
+    came from (null without a search), which are fewer than asked for where segments are short."""
     if not model.trained:
         raise RuntimeError("the model hasn't been trained")
-    row = {"n_units": model.cfg.n_units, "rho": float(model.cfg.rho), "sigma_in": float(model.cfg.sigma_in), "tikh": float(model.cfg.tikh), "leak_rate": float(model.cfg.leak_rate), **model.summary, "n_evals": len(model.trace)}
-    return spark.createDataFrame([row])
-
-
-def names(seq: Sequence[str]) -> str:
-    return ", ".join(seq)
+    cfg, best = model.cfg, min((x for x in model.trace if x["loss"] == x["loss"]), key=lambda x: x["loss"], default={})
+    settings = {k: float(getattr(cfg, k)) for k in ("rho", "sigma_in", "tikh", "leak_rate")}
+    row = {"n_units": cfg.n_units, **settings, **model.summary, "n_evals": len(model.trace), "n_folds_asked": cfg.n_folds, "n_folds": best.get("n_folds"), "loss": best.get("loss")}
+    kinds = {int: "long", float: "double", str: "string"}
+    types = {k: kinds.get(type(v), "long") for k, v in row.items()} | {"loss": "double"}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {t}" for k, t in types.items()))

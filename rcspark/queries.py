@@ -137,12 +137,12 @@ def _norm_sql(method: str) -> str:
         inner = f"(SELECT seg_id, avg({c}) AS s, {_NORM[method].format(c=c)} AS z FROM h GROUP BY seg_id)"
         return f"SELECT {dim} AS dim, round(avg(s), 4) AS shift, round(CASE WHEN abs(avg(z)) < 1e-12 THEN 1 ELSE avg(z) END, 4) AS norm FROM {inner}"
 
-    return f"WITH {RD}, h AS (SELECT *, avg(n) OVER (PARTITION BY seg_id) AS mn, avg(x) OVER (PARTITION BY seg_id) AS mx FROM rd WHERE t < 199) {one(0, 'n')} UNION ALL {one(1, 'x')}"
+    return f"WITH {RD}, h AS (SELECT *, avg(n) OVER (PARTITION BY seg_id) AS mn, avg(x) OVER (PARTITION BY seg_id) AS mx FROM rd) {one(0, 'n')} UNION ALL {one(1, 'x')}"
 
 
 def _norm_query(method: str):
     def run(spark, sf_dir):
-        s = frames.observe(src.region_orders(spark, sf_dir), [0, 1]).filter(F.col("t") < 199)
+        s = frames.observe(src.region_orders(spark, sf_dir), [0, 1])
         out = stats.norm_stats(s, method)
         return out.select("dim", r6(F.col("shift"), 4).alias("shift"), r6(F.col("norm"), 4).alias("norm"))
 
@@ -258,12 +258,13 @@ def small(n: int, leak: float = 1.0, norm: float = NORM, shift: float = SHIFT) -
     return plans.Model(cfg, w_in, w, None, np.array([norm]), np.array([shift]))
 
 
-def states_sql(n: int, source: str, leak: float = 1.0, norm: float = NORM, shift: float = SHIFT, name: str = "st") -> str:
-    """A recursive table (seg_id, t, r0, ...) of the states after each row of ``source`` (seg_id, t, y)."""
-    w_in, w = weights.formula_matrices(n, 1)
+def states_sql(n: int, source: str, leak: float = 1.0, norm: float = NORM, shift: float = SHIFT, name: str = "st", param: bool = False) -> str:
+    """A recursive table (seg_id, t, r0, ...) of the states after each row of ``source`` (seg_id, t, y[, p])."""
+    w_in, w = weights.formula_matrices(n, 1 + param)
 
     def new(i: int, r: list[str], y: str) -> str:
-        inner = f"{SIGMA} * ({float(w_in[i, 0])!r} * (({y} - {shift}) / {norm}) + {float(w_in[i, 1])!r} * {B_IN})"
+        more = f" + {float(w_in[i, 1])!r} * {y[:-1]}p" if param else ""
+        inner = f"{SIGMA} * ({float(w_in[i, 0])!r} * (({y} - {shift}) / {norm}){more} + {float(w_in[i, -1])!r} * {B_IN})"
         x = f"tanh({inner} + {RHO} * (" + " + ".join(f"{float(w[i, j])!r} * {r[j]}" for j in range(n)) + "))"
         return x if leak == 1.0 else f"({1 - leak} * {r[i]} + {leak} * {x})"
 
@@ -401,11 +402,12 @@ def reservoir_user_nmae(spark, sf_dir):
     return rows.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n_rows"), r6(metrics.nmae(F.col("y"), F.col("yhat"), F.col("norm"))).alias("nmae"))
 
 
-def closed_sql(seeds: str, steps: int, norm: float, shift: float, keys: str) -> str:
+def closed_sql(seeds: str, steps: int, norm: float, shift: float, keys: str, held: float | None = None) -> str:
     """A recursive table (keys, k, r, y, w0, w1): closed-loop states from ``seeds`` (keys, r, w0, w1)."""
-    w_in, w = weights.formula_matrices(1, 1)
+    w_in, w = weights.formula_matrices(1, 1 if held is None else 2)
+    more = "" if held is None else f" + {float(w_in[0, 1])!r} * {held}"
     u = f"((w0 * r + w1 * {B_OUT} - {shift}) / {norm})"
-    new = f"tanh({SIGMA} * ({float(w_in[0, 0])!r} * {u} + {float(w_in[0, 1])!r} * {B_IN}) + {RHO} * ({float(w[0, 0])!r} * r))"
+    new = f"tanh({SIGMA} * ({float(w_in[0, 0])!r} * {u}{more} + {float(w_in[0, -1])!r} * {B_IN}) + {RHO} * ({float(w[0, 0])!r} * r))"
     return f"""cl AS (SELECT {keys}, 0 AS k, {new} AS r, w0, w1 FROM {seeds}
 UNION ALL SELECT {keys}, k + 1, {new}, w0, w1 FROM cl WHERE k + 1 < {steps})"""
 
@@ -440,21 +442,41 @@ def _scores(df):
 _LOG = "CASE WHEN m > 0 AND isfinite(m) THEN log10(m) ELSE 10 END"
 
 
-@query(f"""WITH RECURSIVE {_EV1}, f AS (SELECT tikh_idx, w0, w1 FROM {_RIDGE_ROWS}, {_fit_sql('a', 'tikh', 'tikh_idx, tikh').replace('FROM a GROUP', f'FROM a, {_RIDGE_ROWS} GROUP').join(['(SELECT tikh_idx AS ti, w0, w1 FROM ', ')'])} z WHERE z.ti = tikh_idx),
+def _score_recycle_sql(param: bool) -> str:
+    """With a parameter p: its own of each row while washing out, the first row's of the segment (1) in closed loop."""
+    rows, held = ("pv", 1.0) if param else ("ev", None)
+    fit = f"(SELECT tikh_idx AS ti, w0, w1 FROM {_fit_sql('a', 'tikh', 'tikh_idx, tikh').replace('FROM a GROUP', f'FROM a, {_RIDGE_ROWS} GROUP')})"
+    return f"""WITH RECURSIVE {EV}, pv AS (SELECT *, (1 - (t // 20) % 2)::DOUBLE AS p FROM ev), {states_sql(1, rows, param=param)},
+a AS (SELECT st.seg_id, st.t, st.r0, n.y FROM st JOIN ev n ON n.seg_id = st.seg_id AND n.t = st.t + 1 WHERE st.t >= {WASH}),
+f AS (SELECT tikh_idx, w0, w1 FROM {_RIDGE_ROWS}, {fit} z WHERE z.ti = tikh_idx),
 s AS (SELECT seg_id, count(*) - 1 - {WASH} - 10 AS span, max(y) - min(y) AS whole FROM ev GROUP BY 1),
 fo AS (SELECT seg_id, unnest(range(least(4, span + 1))) AS fold, CASE WHEN least(4, span + 1) > 1 THEN span // (least(4, span + 1) - 1) ELSE 0 END AS gap FROM s WHERE span >= 0),
-win AS (SELECT fo.seg_id * 10 + fold AS seg_id, ev.t - fold * gap AS t, y FROM fo JOIN ev ON ev.seg_id = fo.seg_id AND ev.t >= fold * gap AND ev.t < fold * gap + {WASH}),
-{states_sql(1, 'win', name='ws')}, seeds AS (SELECT ws.seg_id AS q, tikh_idx, r0 AS r, w0, w1 FROM ws, f WHERE t = {WASH - 1}),
-{closed_sql('seeds', 10, NORM, SHIFT, 'q, tikh_idx')},
+win AS (SELECT fo.seg_id * 10 + fold AS seg_id, v.t - fold * gap AS t, y, p FROM fo JOIN pv v ON v.seg_id = fo.seg_id AND v.t >= fold * gap AND v.t < fold * gap + {WASH}),
+{states_sql(1, 'win', name='ws', param=param)}, seeds AS (SELECT ws.seg_id AS q, tikh_idx, r0 AS r, w0, w1 FROM ws, f WHERE t = {WASH - 1}),
+{closed_sql('seeds', 10, NORM, SHIFT, 'q, tikh_idx', held)},
 g AS (SELECT seg_id, max(y) - min(y) AS g FROM ev WHERE t > 0 GROUP BY 1),
 m AS (SELECT q, tikh_idx, avg(abs(w0 * r + w1 * {B_OUT} - ev.y)) / max(g.g) AS m FROM cl JOIN fo ON fo.seg_id = q // 10 AND fo.fold = q % 10 JOIN ev ON ev.seg_id = fo.seg_id AND ev.t = fold * gap + {WASH} + 1 + k JOIN g ON g.seg_id = fo.seg_id GROUP BY 1, 2)
-SELECT 0::BIGINT AS cand, tikh_idx, round(avg({_LOG}), 4) AS loss, count(*) AS n_folds FROM m GROUP BY tikh_idx""")
+SELECT 0::BIGINT AS cand, tikh_idx, round(avg({_LOG}), 4) AS loss, count(*) AS n_folds FROM m GROUP BY tikh_idx"""
+
+
+@query(_score_recycle_sql(param=False))
 def score_recycle(spark, sf_dir):
     model = small(1)
     model = plans.Model(model.cfg.with_(t_val=10.0, n_folds=4), model.w_in, model.w, None, model.norm, model.shift)
     return _scores(plans.score_recycle(model, _event_pairs(spark, sf_dir), _candidates()))
 
 
+@query(_score_recycle_sql(param=True))
+def score_recycle_parametric(spark, sf_dir):
+    """A parameter that changes within segments."""
+    w_in, w = weights.formula_matrices(1, 2)
+    cfg = small(1).cfg.with_(n_param=1, t_val=10.0, n_folds=4)
+    model = plans.Model(cfg, w_in, w, None, np.array([NORM, 1.0]), np.array([SHIFT, 0.0]))
+    s = src.user_events(spark, sf_dir).withColumn("p", F.array((1 - F.floor(F.col("t") / 20) % 2).cast("double")))
+    pairs = frames.pairs(frames.append_row_params(frames.observe(s, [0])))
+    return _scores(plans.score_recycle(model, pairs, _candidates()))
+
+
 def _score_series_sql(strategy: str) -> str:
     fo = _folds_sql(strategy, D_VAL * 25).split("FROM ld), ", 1)[1]
     fo = fo.replace("SELECT *, least(6", "SELECT *, least(3")

@@ -165,6 +165,59 @@ def test_single_series_scores_against_plain_numpy(spark, strategy):
             assert got[c, k] == pytest.approx(np.mean(losses), abs=1e-6)
 
 
+def test_candidates_score_alike_in_any_number_of_blocks(spark, monkeypatch):
+    s = frames.observe(series(spark, [60, 70, 40], 2), [0, 1])
+    p = frames.pairs(s)
+    m = plans.untrained(Config(2, n_units=8, n_wash=5, upsample=1, t_val=6.0, n_folds=3, optimize=(), noise=0.0), [2.0, 2.0], [0.3, 0.3])
+    cands = plans.Candidates(np.array([0.9, 0.5, 0.7]), np.array([0.5, 0.2, 0.4]), np.array([1.0, 0.7, 0.5]), (1e-3, 1e-1))
+    rows = lambda: sorted((r.cand, r.tikh_idx, round(r.loss, 9), r.n_folds) for r in plans.score_recycle(m, p, cands).collect())
+    found = []
+    for blocks in (1, 2, 3):
+        monkeypatch.setattr(recurrence, "blocks_for", lambda *_, n=blocks: n)
+        found.append(rows())
+    assert found[0] == found[1] == found[2] and len(found[0]) == 6
+    monkeypatch.undo()
+    cores = spark.sparkContext.defaultParallelism
+    assert [recurrence.blocks_for(spark, 25, n) for n in (1, cores, 10 * cores)] == [min(25, cores), 1, 1]
+
+
+def test_probes_hold_the_first_rows_parameter(spark):
+    s = series(spark, [40], 1).withColumn("p", F.array((F.col("t") >= 15).cast("double")))
+    p = frames.pairs(frames.append_row_params(frames.observe(s, [0])))
+    m = plans.untrained(Config(1, n_param=1, n_units=6, n_wash=5, upsample=1, t_val=5.0, n_folds=2, optimize=(), noise=0.0), [2.0, 1.0], [0.3, 0.0])
+    cands = plans.Candidates(np.array([0.9]), np.array([0.5]), np.array([1.0]), (1e-2,))
+    got = plans.score_recycle(m, p, cands).first().loss
+    u, y = by_segment(p, "u")[0], by_segment(p, "y")[0]
+    one = m.reservoir()
+    states = plain_states(m.reservoir(0.9, 0.5, 1.0), u)
+    a = np.c_[states, np.ones(len(states))][5:]
+    w = np.linalg.solve(a.T @ a + 1e-2 * np.eye(7), a.T @ y[5:])
+    one = m.reservoir(0.9, 0.5, 1.0)
+    losses = []
+    for start in (0, len(u) - 10):  # the second washes out on a parameter of 1
+        r = plain_states(one, u[start : start + 5])[-1][None]
+        pred = recurrence.closed_loop(one, w, r, 5, [0], np.array([[0.0]]))[0]
+        losses.append(np.log10(np.abs(pred - y[start + 5 : start + 10]).mean() / np.ptp(y)))
+    assert got == pytest.approx(np.mean(losses), abs=1e-9)
+
+
+def test_short_windows_and_few_folds_are_warned_of(spark):
+    with pytest.warns(UserWarning, match="validation window"):
+        plans.prepare(series(spark, [12, 13, 14], 1), Config(1, n_units=5, n_wash=5, upsample=1, noise=0.0))
+    p = frames.pairs(frames.observe(series(spark, [60], 1), [0]))
+    m = plans.untrained(Config(1, n_units=5, n_wash=5, upsample=1, t_val=20.0, n_folds=9, noise=0.0))
+    with pytest.warns(UserWarning, match="2 of 9 folds"):
+        plans.score_single_series(m, p, plans.Candidates(*[np.ones(1)] * 3, (1e-3,)), "kfold").collect()
+
+
+def test_closing_matrix_solves_for_the_reservoirs(spark):
+    m = plans.fit(series(spark, [80, 70], 2), Config(2, n_units=8, n_wash=5, upsample=1, t_val=8.0, optimize=(), tikh=1e-3, noise=0.0))
+    x = m.closing_matrix()
+    assert x.shape == (2, 8) and np.allclose(m.w_out[:-1].T @ (m.w_out[:-1] @ x - m.w), 0, atol=1e-8)
+    with pytest.raises(ValueError):
+        plans.untrained(m.cfg).closing_matrix()
+
+
 def test_single_series_needs_one_segment(spark):
     p = frames.pairs(frames.observe(series(spark, [50, 50], 1), [0]))
     m = plans.untrained(Config(1, n_units=5, n_wash=5, upsample=1, t_val=5.0))
@@ -181,7 +234,8 @@ def test_search_grid_trace_and_choice(spark):
     best = min(m.trace, key=lambda x: x["loss"])
     assert m.cfg.rho == pytest.approx(best["rho"]) and m.cfg.sigma_in == pytest.approx(10 ** best["sigma_in"]) and m.cfg.tikh == best["tikh"]
     assert [search.axis_points(Config(1, n_func_evals=b, n_grid=99), a) for b, a in ((125, 3), (64, 3), (27, 3), (20, 4))] == [4, 3, 3, 2]
-    assert plans.training_summary(spark, m).first().n_evals == 6
+    row = plans.training_summary(spark, m).first()
+    assert row.n_evals == 6 and row.n_folds == best["n_folds"] == 4 and row.n_folds_asked == 2 and row.loss == pytest.approx(best["loss"])
     with pytest.raises(RuntimeError):
         plans.training_summary(spark, plans.untrained(cfg))
 
@@ -204,6 +258,8 @@ def test_seed_ensemble_keeps_the_best(spark):
     m, scores = ensemble.fit_seeds(s, cfg, 3)
     rows = {r.seed: r.score for r in scores.collect()}
     assert set(rows) == {3, 4, 5} and m.cfg.seed == min(rows, key=rows.get)
+    again, same = ensemble.fit_seeds(s, cfg, 3, at_once=1)
+    assert again.cfg == m.cfg and {r.seed: r.score for r in same.collect()} == pytest.approx(rows)
     assert ensemble.seed_statistics(scores).first().kept_seed == m.cfg.seed
 
 
