@@ -38,15 +38,17 @@ class WordTokenizer:
     """Encodes by white-space separated chunks, each of them once while it is cached.
 
     Exact for tokenizers that lower-case, split at white space and between letters and other characters, and then
-    merge: no token and no normalisation spans two chunks, or a word and the point or comma after it.
+    merge: no token and no normalisation spans two chunks, or a word and the point or comma after it. Texts that may
+    hold one of the tokenizer's added tokens are encoded whole.
     """
 
     def __init__(self, path: str, cache_size: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.added = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # chunks have lost their case: what looks like an added token isn't one
         self.cache_size = cache_size
         self.cache: dict[bytes, bytes] = {}
 
@@ -79,20 +81,26 @@ class WordTokenizer:
         while at < len(texts):
             chunks, size = [], 0
             while at < len(texts) and (not chunks or size < budget):
-                chunks.append(texts[at].lower().split())
+                low = texts[at].lower()
+                chunks.append(at if any(t in low for t in self.added) else low.split())
                 size += len(texts[at])
                 at += 1
             if len(self.cache) > self.cache_size:
                 self.cache.clear()
             new: set[bytes] = set()
             for c in chunks:
-                new.update(c)
+                if not isinstance(c, int):
+                    new.update(c)
             new = new.difference(self.cache)
             if new:
                 self._learn(new)
             get = self.cache.__getitem__
             for c in chunks:
-                yield b"".join(map(get, c))
+                if isinstance(c, int):
+                    ids = self.whole.encode(texts[c].decode("utf-8", "replace"), add_special_tokens=False).ids
+                    yield np.array(ids, "<u4").tobytes()
+                else:
+                    yield b"".join(map(get, c))
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -211,8 +219,13 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    ``tokenizer`` is the tokenizer file's path on the executors. ``end_id`` ends each document, so a null or empty
-    text is one token. Each row is a document of its own, also if ids repeat or are null. Empty table: empty result.
+    ``tokenizer`` is the tokenizer file's path on the executors. Ids are those of its ``encode`` without special tokens;
+    added tokens that a text spells out count as such, as they do there. ``end_id`` ends each document, so a null or
+    empty text is one token. Each row is a document of its own, also if ids repeat or are null. Texts of any length
+    are encoded whole and cut into sequences. Other columns aren't read. Empty table: empty result.
+
+    A merge of leftovers reads at most ``fan_in * open_windows`` windows, whatever the table's size: about
+    ``fan_in * open_windows * capacity`` ids. The last of them is one task.
     """
     end = np.array([end_id], "<u4").tobytes()
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).cast("binary").alias("raw"))

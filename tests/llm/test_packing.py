@@ -30,16 +30,14 @@ def check(pieces, ids, capacity):
 
 def encoded(rows):
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return {i: t.encode(x or "", add_special_tokens=False).ids + [packing.END_ID] for i, x in rows}
 
 
 def test_words_encode_as_whole_texts():
     rng = random.Random(0)
-    parts = ["the", "The", "word", "it's", "don't", "can't", "é", "é", "́", "İ", "ß", "ǅ", "12", "3.5", "...", ",", ".", "a.", "b,", "c.,", "日本", "😀", "<|endoftext|>", "'S", " ", "  ", "\n", "\t", "\x85", "\xa0", " ", "\x00"]
+    parts = ["the", "The", "word", "it's", "don't", "can't", "é", "é", "́", "İ", "ß", "ǅ", "12", "3.5", "...", ",", ".", "a.", "b,", "c.,", "日本", "😀", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "'S", " ", "  ", "\n", "\t", "\x85", "\xa0", " ", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)]
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     for size in (10**6, 20):
         tok = packing.WordTokenizer(packing.default_tokenizer(), cache_size=size)
