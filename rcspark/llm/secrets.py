@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,18 +93,27 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
         base = sorted(found)
+        starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+
+        def overlaps(start: int, end: int) -> bool:
+            k = bisect_left(starts, end)  # those before k start before the end
+            return k > 0 and reach[k - 1] > start
+
         last = -1
+        ahead = CANDIDATE.search(text)
         novel: set[str] = set()  # shown again after a sensitive word, they are reported again
         for c in CONTEXT.finditer(text):
-            for m in CANDIDATE.finditer(text, max(c.end(), last), c.end() + CONTEXT_CHARS):
-                start, end = m.span()
-                if end == c.end() + CONTEXT_CHARS:  # cut off by the search's end
-                    end = CANDIDATE.match(text, start).end()
-                last = max(last, end)
-                value = text[start:end]
-                if _mixed(value) and not any(s < end and start < e for s, e, _ in base) and (value in novel or novelty(text, start, end) >= least_novelty(value)):
+            while True:
+                at = max(c.end(), last)
+                if ahead and ahead.start() < at:  # searched once for all words before it
+                    ahead = CANDIDATE.search(text, at)
+                if not ahead or ahead.start() > c.end() + CONTEXT_CHARS:
+                    break
+                start, last = ahead.span()
+                value = text[start:last]
+                if _mixed(value) and not overlaps(start, last) and (value in novel or novelty(text, start, last) >= least_novelty(value)):
                     novel.add(value)
-                    found.append((start, end, 3))
+                    found.append((start, last, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(set(found), key=lambda x: (x[0], x[2], x[1]))]
 
 
@@ -130,25 +141,27 @@ def scan(docs: DataFrame, text_col: str = "text", redact: bool = False) -> DataF
     """``docs`` with n_assign, n_access, n_hex, n_novel, base_sha256 and spans (replaced if present).
 
     With ``redact`` the text column holds the redacted text, else it stays. Null and empty texts have no spans (null
-    stays null). Each row is scanned alone, so ties, repeated rows and empty tables need no care.
+    stays null). Each row is scanned alone, so ties, repeated rows and empty tables need no care. Texts are scanned
+    whole, in time that grows with their length and the number of candidates.
     """
     names = ["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
     rest = docs.select(*[c for c in docs.columns if c not in names])
     kinds = {"base_sha256": "string", "spans": "string"}
     schema = rest.select("*", *[F.lit(None).cast(kinds.get(c, "long")).alias(c) for c in names]).schema
+    place = rest.columns.index(text_col)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [find(x) for x in pdf[text_col]]
-            count = lambda kind: [sum(k == kind for *_, k in r) for r in rows]
-            more = {f"n_{k}": count(k) for k in KINDS}
-            more["base_sha256"] = [hashlib.sha256(joined([x for x in r if x[2] != "novel"]).encode()).hexdigest() for r in rows]
-            more["spans"] = [joined(r) for r in rows]
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts, columns = b.column(place).to_pylist(), list(b.columns)
+            rows = [find(x) for x in texts]
             if redact:
-                more[text_col] = [redacted(t, r) for t, r in zip(pdf[text_col], rows, strict=True)]
-            yield pdf.assign(**more)[schema.names]
+                columns[place] = pa.array([redacted(t, r) for t, r in zip(texts, rows, strict=True)], pa.string())
+            columns += [pa.array([sum(k == kind for *_, k in r) for r in rows], pa.int64()) for kind in KINDS]
+            columns.append(pa.array([hashlib.sha256(joined([x for x in r if x[2] != "novel"]).encode()).hexdigest() for r in rows], pa.string()))
+            columns.append(pa.array([joined(r) for r in rows], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rest.mapInPandas(batches, schema)
+    return rest.mapInArrow(batches, schema)
 
 
 def query(spark, sf_dir):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from rcspark.llm import secrets
 
@@ -62,3 +63,13 @@ def test_long_random_strings_of_a_small_alphabet_are_novel():
 def test_secrets_shown_twice_are_reported_each_time():
     text = f"private key {KEY} and again, bearer {KEY} end"
     assert [text[s:e] for s, e, _ in secrets.find(text)] == [KEY, KEY]
+
+
+def test_far_candidates_and_many_base_spans():
+    value = "kJ8sQ2mZx9TfW4bNc7RvLp3Yd6Hg"
+    for gap in (1, 18, 42, 47):
+        assert secrets.joined(secrets.find("private " + " " * (gap - 1) + value)).startswith(f"novel:{7 + gap}:")
+    assert secrets.find("private" + " " * 49 + value) == []
+    began = time.perf_counter()
+    assert len(secrets.find("secret=abcdefgh1 " * 20_000)) == 20_000
+    assert time.perf_counter() - began < 5
