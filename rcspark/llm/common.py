@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,13 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own if that is unset and all
+    run on this machine."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="rcspark-")
@@ -36,11 +40,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in ``session`` if given: cuts lineage, survives lost
+    executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """After a large table has been written, what was shuffled for it is of no more use. Spark's cleaner deletes the
+    shuffle files of plans that the driver's collector has found dead; so let it look now."""
+    spark._jvm.System.gc()
+
+
+def forget(written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, when all that reads it has been written itself."""
+    for path in written.inputFiles()[:1]:
+        delete_path(written.sparkSession, unquote(path.rpartition("/")[0]))
+
+
+def session_with(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session beside ``spark`` with its settings and these; ``spark`` keeps its own."""
+    own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key, value in settings.items():
+        own.conf.set(key, value)
+    return own
+
+
+def in_session(df: DataFrame, session: SparkSession) -> DataFrame:
+    """``df``, planned and run under the settings of ``session``."""
+    made = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().logical())
+    return type(df)(made, session)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -111,3 +142,35 @@ def lookup_join(
 def text_or_empty(column: str | Column = "text") -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def most_frequent(counts: DataFrame, column: str, room: int) -> Column:
+    """A condition that at most ``room`` rows of ``counts`` meet, those with the highest counts (1 or more). Counts are
+    told apart to about 1.5 %, so that a bounded number of them reaches the driver."""
+    level = F.floor(F.log(F.col(column)) * 64)
+    least = None
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("many")).collect(), key=lambda r: -r.level):
+        if row.many > room:
+            break
+        least, room = row.level, room - row.many
+    return F.lit(False) if least is None else level >= F.lit(least)
+
+
+def spread_join(facts: DataFrame, table: DataFrame, key: str, weight: str, total: int, max_hot: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join of ``facts`` with ``table`` (one row per key, keys of any size) that no hot key can overload.
+
+    ``weight``: the table's column with the number of fact rows of each key, at most; ``total``: their sum. Keys that hold
+    over ``total / max_hot`` rows are fewer than ``max_hot`` by counting; only their hashes are broadcast, and their
+    rows are repeated for each of ``salts`` shares of the facts. The weight column is dropped."""
+    is_hot = F.col(weight) * F.lit(max_hot) > F.lit(max(total, 1))
+    plain = table.drop(weight)
+    if not table.filter(is_hot).limit(1).count():
+        return facts.join(plain, key)
+    hash_, salt, mark = (fresh_name({*facts.columns, *table.columns}, x) for x in ("hot_hash", "salt", "hot"))
+    hot = table.filter(is_hot).select(F.xxhash64(key).alias(hash_)).distinct()
+    dealt = facts.withColumn(mark, F.xxhash64(key)).join(F.broadcast(hot), F.col(mark) == F.col(hash_), "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(hash_).isNotNull(), F.pmod(F.xxhash64(*facts.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop(mark, hash_)
+    # a key whose hash is a hot one's, but that isn't hot itself, is repeated as well
+    shares = table.withColumn(mark, F.xxhash64(key)).join(F.broadcast(hot), F.col(mark) == F.col(hash_), "left")
+    shares = shares.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(hash_).isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0)))))
+    return dealt.join(shares.drop(mark, hash_, weight), [key, salt]).drop(salt)

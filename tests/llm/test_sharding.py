@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import pytest
 
 from rcspark.llm import sharding
@@ -54,3 +57,56 @@ def test_empty_store(spark, tmp_path, odd_docs):
     assert s.read() is None and s.compact() == 0
     s.append(odd_docs.limit(0))
     assert s.compact() == s.version()
+
+
+def texts(spark, first, n):
+    return spark.range(first, first + n).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id % 3 AS run", "'p' AS path")
+
+
+def test_beaten_writers_commit_on_top(spark, tmp_path):
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    commit, calls = s.commit, []
+
+    def late(shards, version):
+        if not calls:
+            calls.append(other.append(texts(spark, 100, 5)))
+        return commit(shards, version)
+
+    s.commit = late
+    assert s.append(texts(spark, 0, 5)) == 2 and calls == [1]
+    assert rows_of(s.read()) == rows_of(texts(spark, 0, 5).union(texts(spark, 100, 5)))
+    calls.clear()
+    s.commit = lambda shards, version: commit(shards, version) if calls else (calls.append(other.compact()), commit(shards, version))[1]
+    s.compact()  # the other has merged the same runs
+    assert rows_of(s.read()) == rows_of(texts(spark, 0, 5).union(texts(spark, 100, 5)))
+    assert s.manifest().count() < 4
+
+
+def test_a_path_with_odd_characters(spark, tmp_path):
+    s = sharding.Store(spark, f"file://{tmp_path}/a b+c%20d/store", target_bytes=40_000, tier_bytes=1000)
+    for i in range(3):
+        s.append(texts(spark, 10 * i, 4))
+    s.compact()
+    assert s.manifest().count() == 1 and s.read().count() == 12
+    assert s.vacuum() > 0 and s.read().count() == 12
+
+
+def test_many_shards_are_read_without_a_list(spark, tmp_path, monkeypatch):
+    s = store(spark, tmp_path)
+    s.append(texts(spark, 0, 10).repartition(4))
+    s.append(texts(spark, 10, 10).repartition(3))
+    want = rows_of(s.read())
+    monkeypatch.setattr(sharding, "MAX_FILES", 2)
+    assert rows_of(s.read()) == want and rows_of(s.read(1)) == rows_of(texts(spark, 0, 10))
+
+
+def test_query_columns(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (2, "é" * 5000), (None, ""), (1, "a")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, arrival string")
+    docs.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    out = sharding.query(spark, f"file://{tmp_path}/sf")
+    assert out.columns == ["doc_id", "text_crc32", "shard", "tier", "shard_rows", "version"]
+    got = out.collect()
+    assert sorted(str((r.doc_id, r.text_crc32)) for r in got) == sorted(str((i, zlib.crc32((t or "").encode()))) for i, t in rows)
+    sizes = Counter(r.shard for r in got)
+    assert all(sizes[r.shard] == r.shard_rows for r in got) and len({r.version for r in got}) == 1
