@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,19 +101,20 @@ _MEASURED = [*BASE_COLUMNS, "n_upper", "n_bangs", "n_digits"]
 
 
 def features(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """The columns ``keep`` of ``docs``, with the base columns and the rules' features, all from whole texts."""
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias("rules_text"))
+    """The columns ``keep`` of ``docs``, with the base columns and the rules' features, all from whole texts. Names in
+    ``keep`` must not be among those."""
+    slim = docs.select(*keep, common.text_or_empty(text_col).cast("binary").alias("rules_text"))
     out = slim.select(*keep).schema
     for c in _MEASURED:
         out = out.add(c, "long")
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [measure(x) for x in pdf.pop("rules_text")]
-            found = np.array(rows, np.int64).reshape(len(pdf), len(_MEASURED))
-            yield pdf.assign(**{c: found[:, i] for i, c in enumerate(_MEASURED)})
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = [measure(str(x.as_py(), "utf-8", "replace")) for x in b.column(len(keep))]
+            found = np.array(rows, np.int64).reshape(b.num_rows, len(_MEASURED))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, found.T)], names=out.names)
 
-    return slim.mapInPandas(batches, out).withColumns(shares())
+    return slim.mapInArrow(batches, out).withColumns(shares())
 
 
 def shares() -> dict:
@@ -199,15 +201,13 @@ def thresholds(
     stratum's task gets is one row per combination of levels, not per document.
     """
     rules = rules or RULES
-    labelled = feats.filter(~base_failed()).join(
-        labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("label_id"), (F.col("quality") > 0).alias("good")),
-        F.col(id_col) == F.col("label_id"),
-    )
+    marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("label_id"), (F.col("quality") > 0).alias("good")).agg(F.count(F.lit(1)).alias("marks"))
+    labelled = feats.filter(~base_failed()).join(marks, F.col(id_col) == F.col("label_id"))
     levels = F.array(*[sum((F.col(rule) > F.lit(c)).cast("int") for c in cutoffs) for rule, cutoffs in rules.items()])
     counts = (
-        labelled.select(F.col(stratum_col).cast("string").alias("stratum"), levels.alias("levels"), "good", (F.pmod(F.xxhash64(id_col), F.lit(2)) == 1).alias("holdout"))
+        labelled.select(F.col(stratum_col).cast("string").alias("stratum"), levels.alias("levels"), "good", "marks", (F.pmod(F.xxhash64(id_col), F.lit(2)) == 1).alias("holdout"))
         .groupBy("stratum", "levels", "good", "holdout")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("marks").alias("n"))
     )
     counts = common.materialize(counts, "rules")
     n_strata = counts.select("stratum").distinct().count()
@@ -234,13 +234,23 @@ def judge(
 ) -> DataFrame:
     """(id, *keep, base columns, base_failed, rejected_by, kept) for each row of ``docs``.
 
-    Null text: no words, so base_failed. A null stratum is a stratum of its own. With no labels no rule but the base
-    is in force. Repeated rows are judged alike. Empty table: empty result.
+    Each row is judged by its own text: repeated and null ids need no care. Null text: no words, so base_failed. A null
+    stratum is a stratum of its own. With no labels no rule but the base is in force. Texts of any length are read
+    whole. Names in ``keep`` that clash with the result's come first, under their own names. Empty table: empty result.
+
+    The cutoffs come from a slim table of features; if ``keep`` has more columns (a text, for instance) the features
+    are measured again beside them, so that whole rows are neither shuffled nor written.
     """
     rules = rules or RULES
     want = list(dict.fromkeys([id_col, stratum_col, *keep]))
-    feats = common.materialize(features(docs, text_col, want), "features")
-    cuts = common.materialize(thresholds(feats, labels, stratum_col, id_col, risk, rules), "cutoffs")
+    names = [f"kept_{i}" for i in range(len(want))]
+    plain = docs.select(F.col(text_col).alias("rules_text"), *[F.col(c).alias(n) for c, n in zip(want, names, strict=True)])
+    own_id, own_stratum = names[0], names[want.index(stratum_col)]
+    feats = common.materialize(features(plain, "rules_text", names[:2]), "features")
+    cuts = common.materialize(thresholds(feats, labels.withColumnRenamed(id_col, own_id), own_stratum, own_id, risk, rules), "cutoffs")
+    stratum_col = own_stratum
+    if len(names) > 2:
+        feats = features(plain, "rules_text", names)
     on = feats[stratum_col].cast("string").eqNullSafe(F.col("stratum"))
     if cuts.count() <= risk.max_strata:
         joined = feats.join(F.broadcast(cuts), on, "left")
@@ -251,8 +261,9 @@ def judge(
         joined = common.lookup_join(feats.withColumn("stratum", F.col(stratum_col).cast("string")), table, ["stratum"], "stratum_rows", total)
     over = [F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in rules]
     out = joined.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.array_compact(F.array(*over)))
+    kept = {w: F.col(n).alias(w) for w, n in zip(want, names, strict=True)}
     return out.select(
-        *list(dict.fromkeys([id_col, *keep])), *BASE_COLUMNS, "base_failed", "rejected_by",
+        *[kept[c] for c in dict.fromkeys([id_col, *keep])], *BASE_COLUMNS, "base_failed", "rejected_by",
         (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
     )
 
@@ -264,8 +275,10 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: drops the documents that the rules reject.
-
-    Only (id, verdict) of the judged rows is joined back, on the id."""
-    verdicts = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    """Pipeline stage: drops the documents that the rules reject, each row by its own text. The cutoffs, a row per
+    language, are broadcast; the documents themselves pass in one narrow step."""
+    columns = [f"doc_{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, columns, strict=True))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", of["doc_id"])
+    out = judge(docs.toDF(*columns), labels, of["doc_id"], of["text"], of["lang"], keep=columns).filter("kept")
+    return out.select(*[F.col(c).alias(name) for name, c in of.items()])

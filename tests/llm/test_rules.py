@@ -83,3 +83,14 @@ def test_odd_rows(spark, odd_docs):
     assert rules.judge(odd_docs, labels.limit(0)).count() == odd_docs.count()
     kept = rules.judge(odd_docs, labels, risk=rules.Risk(max_strata=0)).collect()  # the join without a broadcast
     assert sorted(map(str, kept)) == sorted(map(str, rows))
+
+
+def test_stage_judges_rows_not_ids(spark, tmp_path):
+    long = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(None, long(30, "a")), (None, "short"), (7, long(31, "b")), (7, "tiny"), ((1 << 53) + 1, long(12, "c"))]
+    docs = spark.createDataFrame([(i, t, "en", 5, 0.5) for i, t in rows], "doc_id long, text string, lang string, n_words int, rejected_by double")
+    spark.createDataFrame([(7, 1), (7, 0), (None, 1)], "doc_id long, quality long").write.parquet(f"file://{tmp_path}/labels.parquet")
+    out = rules.stage(spark, docs, f"file://{tmp_path}")
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(str(rows[i]) for i in (0, 2, 4))
+    assert all((r.n_words, r.rejected_by) == (5, 0.5) for r in out.collect())
