@@ -132,25 +132,31 @@ def propose(x: np.ndarray, y: np.ndarray, gains: np.ndarray, rng: np.random.Gene
     return trial[chosen], gains - np.array([mu[p] for p in picks])
 
 
+def explore(cfg: Config, score: Callable) -> tuple[list[str], list[list[float]], list[tuple], int]:
+    """(axes, points, what ``score(axes, points)`` gave for each: (loss, ridge, folds), points of the grid): the grid
+    and random points at once, then one acquisition after the other."""
+    axes, points = grid(cfg)
+    points = points[: cfg.n_func_evals] if axes else [[]]
+    rng = np.random.default_rng([10, cfg.seed])
+    ranges = np.array([cfg.range_of(a) for a in axes], float).reshape(-1, 2)
+    unit = lambda p: (np.asarray(p) - ranges[:, 0]) / np.maximum(ranges[:, 1] - ranges[:, 0], 1e-300)
+    n_grid = len(points)
+    more = min(cfg.n_initial_rand, cfg.n_func_evals - n_grid) if axes else 0
+    points += [(ranges[:, 0] + rng.random(len(axes)) * (ranges[:, 1] - ranges[:, 0])).tolist() for _ in range(more)]
+    found = list(score(axes, points))
+    gains = np.zeros(3)
+    while axes and len(points) < cfg.n_func_evals:
+        x, gains = propose(np.array([unit(p) for p in points]), np.array([f[0] for f in found]), gains, rng)
+        points.append((ranges[:, 0] + x * (ranges[:, 1] - ranges[:, 0])).tolist())
+        found += score(axes, points[-1:])
+    return axes, points, found, n_grid
+
+
 def optimise(model: m.Model, train: DataFrame, strategy: str | Callable = "recycle") -> tuple[m.Model, list[dict]]:
     """The model with the best settings found, the first on ties, and the trace of all evaluations."""
-    cfg = model.cfg
-    axes, points = grid(cfg)
     train = train.cache()
     try:
-        points = points[: cfg.n_func_evals] if axes else [[]]
-        rng = np.random.default_rng([10, cfg.seed])
-        ranges = np.array([cfg.range_of(a) for a in axes], float).reshape(-1, 2)
-        unit = lambda p: (np.asarray(p) - ranges[:, 0]) / np.maximum(ranges[:, 1] - ranges[:, 0], 1e-300)
-        n_grid = len(points)
-        more = min(cfg.n_initial_rand, cfg.n_func_evals - n_grid) if axes else 0
-        points += [(ranges[:, 0] + rng.random(len(axes)) * (ranges[:, 1] - ranges[:, 0])).tolist() for _ in range(more)]
-        found = evaluate(model, train, strategy, axes, points)
-        gains = np.zeros(3)
-        while axes and len(points) < cfg.n_func_evals:
-            x, gains = propose(np.array([unit(p) for p in points]), np.array([f[0] for f in found]), gains, rng)
-            points.append((ranges[:, 0] + x * (ranges[:, 1] - ranges[:, 0])).tolist())
-            found += evaluate(model, train, strategy, axes, points[-1:])
+        axes, points, found, n_grid = explore(model.cfg, lambda axes, points: evaluate(model, train, strategy, axes, points))
     finally:
         train.unpersist()
     losses = np.array([f[0] for f in found])

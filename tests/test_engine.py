@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rcspark.config import Config
 from rcspark.functions import metrics
 from rcspark.operators import folds, frames, jacobian, recurrence, ridge, stats, weights
-from rcspark.plans import ensemble, model as plans, search
+from rcspark.plans import ensemble, members, model as plans, search
 from rcspark.sources import chaos, store
 
 
@@ -218,6 +218,29 @@ def test_closing_matrix_solves_for_the_reservoirs(spark):
         plans.untrained(m.cfg).closing_matrix()
 
 
+@pytest.mark.parametrize("how", ["recycle", *folds.SINGLE_SERIES])
+def test_members_are_scored_as_the_distributed_strategies_do(spark, how):
+    p = frames.pairs(frames.observe(series(spark, [120], 2), [0, 1]))
+    cfg = Config(2, n_units=10, n_wash=5, upsample=1, t_val=12.0, n_folds=3, optimize=(), noise=0.0)
+    m = plans.untrained(cfg, [2.0, 2.0], [0.3, 0.3])
+    cands = plans.Candidates(np.array([0.6]), np.array([0.4]), np.array([0.8]), (1e-3,))
+    want = plans.STRATEGIES[how](m, p, cands).first()
+    got = members.validate(m.reservoir(0.6, 0.4, 0.8), by_segment(p, "u")[0], by_segment(p, "y")[0], cfg, members.Strategy(how, 3), 1e-3)
+    assert got[0] == pytest.approx(want.loss, abs=1e-6) and got[1] == want.n_folds
+
+
+def test_a_comparison_of_strategies(spark):
+    data, rest, cfg, strategies, tests = members.lorenz_experiment(windows=4, n_units=30, n_grid=2, n_func_evals=5)
+    assert {k: s.n_folds for k, s in strategies.items()} == {"single_shot": 1, "walk_forward": 100, "walk_forward_chaotic": 7, "kfold": 100, "kfold_chaotic": 100, "recycle_chaotic": 9}
+    few = {k: strategies[k] for k in ("walk_forward", "recycle_chaotic")}
+    rows = members.compare(spark, data, rest, cfg, few, [1, 2], tests).collect()
+    assert {(r.strategy, r.seed) for r in rows} == {(k, s) for k in few for s in (1, 2)}
+    assert {r.strategy: r.n_folds for r in rows} == {"walk_forward": 3, "recycle_chaotic": 9}
+    assert all(0 < r.m_val < 10 and 0 < r.m_test and 1 <= r.horizon <= tests.n_steps and 0.1 <= r.rho <= 1.0 for r in rows)
+    one = members.train(data, rest, cfg.with_(seed=2), few["walk_forward"], tests)
+    assert next(r.m_val for r in rows if (r.strategy, r.seed) == ("walk_forward", 2)) == pytest.approx(one["m_val"])
+
+
 def test_single_series_needs_one_segment(spark):
     p = frames.pairs(frames.observe(series(spark, [50, 50], 1), [0]))
     m = plans.untrained(Config(1, n_units=5, n_wash=5, upsample=1, t_val=5.0))
