@@ -304,3 +304,20 @@ def training_summary(spark: SparkSession, model: Model) -> DataFrame:
     kinds = {int: "long", float: "double", str: "string"}
     types = {k: kinds.get(type(v), "long") for k, v in row.items()} | {"loss": "double"}
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {t}" for k, t in types.items()))
+
+
+def search_table(spark: SparkSession, model: Model) -> DataFrame:
+    """(eval, <axes>, tikh, loss, n_folds, is_grid) of a search, a row each evaluation: the surface that it saw."""
+    if not model.trace:
+        raise ValueError("the model hasn't been searched for")
+    kinds = {"eval": "long", "n_folds": "long", "is_grid": "boolean"}
+    names = list(model.trace[0])
+    rows = [tuple(int(x[k]) if kinds.get(k) == "long" else bool(x[k]) if k == "is_grid" else float(x[k]) for k in names) for x in model.trace]
+    return spark.createDataFrame(rows, ", ".join(f"{k} {kinds.get(k, 'double')}" for k in names))
+
+
+def readout_table(spark: SparkSession, model: Model) -> DataFrame:
+    """(unit, dim, weight) of a trained readout; the unit after the last is the bias."""
+    if not model.trained:
+        raise ValueError("the model must be trained")
+    return spark.createDataFrame([(i, d, float(x)) for (i, d), x in np.ndenumerate(model.w_out)], "unit long, dim long, weight double")

@@ -258,6 +258,11 @@ def test_search_grid_trace_and_choice(spark):
     assert m.cfg.rho == pytest.approx(best["rho"]) and m.cfg.sigma_in == pytest.approx(10 ** best["sigma_in"]) and m.cfg.tikh == best["tikh"]
     assert [search.axis_points(Config(1, n_func_evals=b, n_grid=99), a) for b, a in ((125, 3), (64, 3), (27, 3), (20, 4))] == [4, 3, 3, 2]
     row = plans.training_summary(spark, m).first()
+    table = plans.search_table(spark, m)
+    assert table.columns == ["eval", "rho", "sigma_in", "leak_rate", "tikh", "loss", "n_folds", "is_grid"] and table.count() == 6
+    assert table.orderBy("loss").first().rho == pytest.approx(m.cfg.rho)
+    weights_ = {(r.unit, r.dim): r.weight for r in plans.readout_table(spark, m).collect()}
+    assert len(weights_) == 13 * 2 and weights_[12, 1] == m.w_out[12, 1]
     assert row.n_evals == 6 and row.n_folds == best["n_folds"] == 4 and row.n_folds_asked == 2 and row.loss == pytest.approx(best["loss"])
     with pytest.raises(RuntimeError):
         plans.training_summary(spark, plans.untrained(cfg))
