@@ -40,20 +40,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+#: With this, Spark deletes an execution's shuffle files at its end.
+_CLEAN_UP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def materialize(df: DataFrame, name: str, session: SparkSession | None = None, release: bool = False, settings: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, in ``session`` if given: cuts lineage, survives lost
-    executors."""
+    executors. With ``release`` what was shuffled for it, of no more use, is deleted at once, not when the driver
+    happens to collect its plan. ``settings`` hold while it is written."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    settings = (settings or {}) | (_CLEAN_UP if release else {})
+    own = in_session(df, session_with(df.sparkSession, settings)) if settings else df
+    own.write.option("compression", "zstd").parquet(path)
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """After a large table has been written, what was shuffled for it is of no more use. Spark's cleaner deletes the
-    shuffle files of plans that the driver's collector has found dead; so let it look now."""
-    spark._jvm.System.gc()
-
-
 def forget(written: DataFrame) -> None:
     """Delete what ``materialize`` wrote, when all that reads it has been written itself."""
     for path in written.inputFiles()[:1]:

@@ -28,12 +28,37 @@ def test_ids_are_the_librarys(spark):
 
 def test_units_are_where_no_piece_reaches():
     m = pieces.model(pieces.default_model())
+    neighbours = {x for t in m.text for x in itertools.pairwise(t)}
     rng = random.Random(5)
     for _ in range(2000):
         t = "".join(rng.choice(PARTS) for _ in range(rng.randrange(12)))
+        marked = pieces.MARK + t.replace(" ", pieces.MARK) if t else ""
         units = m.units(t)
-        assert "".join(units) == (pieces.MARK + t.replace(" ", pieces.MARK) if t else "")
-        assert units == (pieces._UNITS.findall("".join(units)))
+        assert "".join(units) == marked
+        assert [u[-1] + v[0] for u, v in itertools.pairwise(units)] == [x + y for x, y in itertools.pairwise(marked) if (x, y) not in neighbours]
+        for size in (1, 5, 50):  # long texts are cut between units
+            chunks = list(m.chunks([t, "", t], size))
+            found = [(owners[k], u) for parts, owners in chunks for us, part in [m.split(parts)] for u, k in zip(us.to_pylist(), part)]
+            assert found == [(i, u) for i in (0, 2) for u in units]
+
+
+def test_long_units_are_the_librarys_at_any_length():
+    m, sp = pieces.model(pieces.default_model()), library()
+    rng = random.Random(8)
+    for n in (2, 10, 300, 3000):
+        t = "".join(rng.choice(["the", "ing", "re", "in", "er", "a", "b"]) for _ in range(n))
+        assert [i for u in m.units(t) for i in m.segment(u, "bpe")] == sp.encode(t)
+    t = "".join(rng.choice(["the", "ing", "re", "in"]) for _ in range(400_000))  # a word of a million characters
+    (unit,) = m.units(t)
+    assert m.decode(m.segment(unit, "bpe")) == t
+
+
+def test_words_longer_than_any_fold(spark):
+    rng = random.Random(9)
+    sp = library()
+    rows = [(i, "a " + "".join(rng.choice(["the", "ing", "re", "in", "é"]) for _ in range(n)) + " b") for i, n in enumerate([25, 40, 70, 150, 1000])]
+    got = pieces.encode(spark.createDataFrame(rows * 2, "doc_id long, text string"), pieces.default_model(), head=3).collect()
+    assert sorted(map(str, [(r.doc_id, r.ids) for r in got])) == sorted(str((i, sp.encode(t))) for i, t in rows * 2)
 
 
 def test_decoding_inverts_encoding(spark):
@@ -65,6 +90,7 @@ def test_viterbi_against_brute_force(spark):
     ids = {v: k for k, v in zip(table, range(1, 10))}
     for r in pieces.encode_units(df, model, "unigram").collect():
         segs = [ids.get(i) for i in r.ids]
+        assert r.ids == model.segment(r.unit, "unigram")
         score = sum(table[s] if s else min(table.values()) - 10 for s in segs)
         assert score == pytest.approx(best(r.unit))
         assert sum(len(s) if s else 1 for s in segs) == len(r.unit)
