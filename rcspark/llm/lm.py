@@ -1,14 +1,20 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
-The model is a bigram model over words with Dirichlet smoothing: p(w|v) = (c(v,w) + m p(w)) / (c(v) + m). It is learnt
-from all training texts and is never in one place. Bigram occurrences, of training and scored texts alike, are sent
-once, in packed blocks, to the shard of their context; contexts that are too frequent are spread over shards by word as
-well, which the smoothing allows, as all it needs of a context is its count. A shard counts, writes its trie as
-memory-mapped levels to its task's own folder, looks each distinct bigram up in it and sends back sums by text.
+The model is a bigram model over words with Dirichlet smoothing. It is learnt from all training texts and is never in one
+place. A task cuts its texts into blocks of tokens and sends each distinct bigram of a block once, with how often
+training texts have it, to the shard of its context; contexts that are too frequent for a shard are spread over several
+by word as well, which the smoothing allows, as all it needs of a context is its count. So the commonest bigram of a
+corpus is one row a block. A shard counts, writes its trie as memory-mapped levels to its task's own folder, looks each
+bigram up in it and sends the values back to the block, where they meet the block's table of tokens and are summed by
+text.
 
 Words: the most frequent ones, at most ``head``, are numbered and broadcast with their counts (entries of bounded
-size); the rest keep 62-bit hashes, and meet their exact counts in a join, for the base score. In the model the rest
-and unseen words share what probability the numbered words leave, in equal parts.
+size); the rest keep 62-bit hashes, and meet their exact counts in a join. With m the smoothing, c(v) how often v has a
+successor and p(w) = (c(w) + 1) / (N + V + 1):
+
+* a numbered word: p(w|v) = (c(v,w) + m p(w)) / (c(v) + m);
+* any other, after a v that it follows in training: c(v,w) / (c(v) + m), without the share of p(w), which is below
+  m (c(w) + 1) / N; else m p(w) / (c(v) + m). So all words back off to their own counts.
 """
 
 from __future__ import annotations
@@ -33,17 +39,16 @@ from pyspark.sql import functions as F
 from . import common
 from .elias_fano import Trie
 
-#: Parameters: numbered words and their longest length, smoothing, bigrams of a shard, of a block, and the share of
-#: all contexts from which one is spread by word.
+#: Parameters: numbered words and their longest length, smoothing, tokens of a shard and of a block.
 HEAD = 300_000
 HEAD_BYTES = 64
 SMOOTHING = 8.0
 SHARD_PAIRS = 1_500_000
 BLOCK_PAIRS = 1_000_000
-SPREAD_SHARE = 1 / 200
-SPREAD = 64
 _COUNTER_WORDS = 400_000
 _KEY_BITS = 33
+#: Spark's seed of xxhash64, so that joins find the same hashes.
+_SEED = 42
 
 _HEADS: dict[str, "Head"] = {}
 
@@ -55,20 +60,24 @@ class Head(dict):
         super().__init__(zip(words, range(len(words)), strict=True))
         self.end = len(words)
         self.n, self.v, self.counts = n, v, np.append(counts, n_train)  # the end's count last
-        total = n + v + 1
-        self.base = np.log10((self.counts + 1) / total)
-        left = max(1.0 - float(((self.counts + (self.counts > 0)) / total).sum()) if n else 1.0, 1.0 / total)
-        self.rest = math.log10(left / (max(v - len(words) - (n_train > 0), 0) + 1))
+        self.base = np.log10((self.counts + 1) / (n + v + 1))
 
     def __missing__(self, word: bytes) -> int:
-        return self.end + 1 + (xxhash.xxh64_intdigest(word) >> 2)
+        return self.end + 1 + (xxhash.xxh64_intdigest(word, _SEED) >> 2)
 
     def context_counts(self, contexts: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """Exact counts: of numbered contexts and of the beginning from all texts, of others as seen by their shard."""
         return np.where(contexts < self.end, self.counts[np.minimum(contexts, self.end)], np.where(contexts == self.end, self.counts[-1], seen))
 
     def log_p1(self, words: np.ndarray) -> np.ndarray:
-        return np.where(words <= self.end, self.base[np.minimum(words, self.end)], self.rest)
+        """Of numbered words; 0 for others, whose share is added when their counts are at hand."""
+        return np.where(words <= self.end, self.base[np.minimum(words, self.end)], 0.0)
+
+    def shard(self, contexts: np.ndarray, words: np.ndarray, n_shards: int, shard_pairs: int) -> np.ndarray:
+        """A context's bigrams go to as many shards as it takes to have at most a quarter of a shard's tokens in each."""
+        tokens = np.where(contexts <= self.end, self.counts[np.minimum(contexts, self.end)], 0) * 7 / 6  # with the held-out texts'
+        salts = np.maximum(np.ceil(4 * tokens / shard_pairs), 1).astype(np.uint64)
+        return (_mix(_mix(contexts) + _mix(words) % salts) % np.uint64(n_shards)).astype(np.int64)
 
 
 def _head(shared) -> Head:
@@ -106,7 +115,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes: the first bytes of all, then the second bytes, and so on; so that zeros meet."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
@@ -114,27 +123,35 @@ def _unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
-def pack_block(context: np.ndarray, word: np.ndarray, doc: np.ndarray) -> bytes:
-    step = np.diff(doc, prepend=np.int64(0))
-    raw = _planes(context.astype("<i8")) + _planes(word.astype("<i8")) + _planes(step.astype("<i4"))
-    return zstandard.ZstdCompressor(level=1).compress(len(context).to_bytes(8, "little") + raw)
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, as byte planes."""
+    head = len(columns[0]).to_bytes(8, "little") + b"".join(c.dtype.str.encode() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, columns)))
 
 
-def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(block: bytes, columns: int) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
-    n = int.from_bytes(raw[:8], "little")
-    return _unplanes(raw[8 : 8 + 8 * n], n, "<i8"), _unplanes(raw[8 + 8 * n : 8 + 16 * n], n, "<i8"), np.cumsum(_unplanes(raw[8 + 16 * n :], n, "<i4"), dtype=np.int64)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8 + 3 * columns, []
+    for k in range(columns):
+        kind = raw[8 + 3 * k : 11 + 3 * k].decode()
+        size = n * np.dtype(kind).itemsize
+        out.append(_unplanes(raw[at : at + size], n, kind))
+        at += size
+    return out
 
 
-_OUT = "kind byte, key long, shard long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, word binary, times long, block binary"
+_OUT = "kind byte, key long, shard long, place long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, word binary, times long, block binary"
+#: Kinds of rows: texts, bigrams of a block, words of a text that aren't numbered, a block's tokens.
+_TEXT, _BIGRAMS, _WORD, _TOKENS = range(4)
 
 
-def _send(shared, n_shards: int, spread_from: float, arrow_id: pa.DataType):
-    """Of each text (kind 0) its counts and the numbered words' share of the base score; of its other words (kind 2)
-    how often each is there; of all (kind 1) the blocks of bigrams by shard. In a block a text's place is doubled, and
-    odd if it is held out."""
+def _send(shared, n_shards: int, shard_pairs: int, block_pairs: int, arrow_id: pa.DataType):
+    """Of each text its counts and the numbered words' share of the base score; of its other words how often each is
+    there; of each block the distinct bigrams by shard, and the tokens: their bigrams' places in the block, those of one
+    shard being adjacent, and how many are each text's. ``place``: the block's number in 31 bits, and the place of the
+    first bigram in 32."""
     schema = pa.schema([
-        ("kind", pa.int8()), ("key", pa.int64()), ("shard", pa.int64()), ("doc_id", arrow_id), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+        ("kind", pa.int8()), ("key", pa.int64()), ("shard", pa.int64()), ("place", pa.int64()), ("doc_id", arrow_id), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
         ("n_known", pa.int64()), ("base", pa.float64()), ("word", pa.binary()), ("times", pa.int64()), ("block", pa.binary()),
     ])
 
@@ -145,28 +162,34 @@ def _send(shared, n_shards: int, spread_from: float, arrow_id: pa.DataType):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = _head(shared)
         number, end = head.__getitem__, head.end
-        often = np.flatnonzero(head.counts > spread_from)
-        part, doc = TaskContext.get().partitionId() << _KEY_BITS, 0
-        held: list[tuple[np.ndarray, int]] = []
+        part, doc, number_of, before = TaskContext.get().partitionId() << _KEY_BITS, 0, 0, end  # the beginning has the end's number
+        held: list[tuple[np.ndarray, int, bool]] = []
         size = 0
 
-        def blocks() -> pa.RecordBatch:
-            lengths = np.array([len(x) + 1 for x, _ in held], np.int64)
-            place = np.repeat(np.array([p for _, p in held], np.int64), lengths)
-            word = np.full(size, end, np.int64)
-            context = np.full(size, end, np.int64)  # the beginning has the end's number
-            last = np.cumsum(lengths) - 1
-            inner = np.ones(size, bool)
-            inner[last] = False
-            word[inner] = np.concatenate([x for x, _ in held]) if held else []
-            context[1:][inner[:-1]] = word[:-1][inner[:-1]]
-            salt = np.where(np.isin(context, often), _mix(word) % np.uint64(SPREAD) + np.uint64(1), np.uint64(0))
-            shard = (_mix(context.astype(np.uint64) * np.uint64(SPREAD + 1) + salt) % np.uint64(n_shards)).astype(np.int32)
+        def blocks() -> Iterator[pa.RecordBatch]:
+            nonlocal number_of, before, size
+            tokens = np.concatenate([x for x, _, _ in held])
+            lengths = np.array([len(x) for x, _, _ in held], np.int64)
+            training = np.repeat([not out for _, _, out in held], lengths)
+            codes, words = pd.factorize(np.append(tokens, before))
+            after = np.append(codes[-1:], codes[:-2]).astype(np.int64)  # the token before each
+            bigram, distinct = pd.factorize(after * len(words) + codes[:-1])
+            times = np.bincount(bigram, training, len(distinct)).astype(np.int32)
+            context, word = words[distinct // len(words)], words[distinct % len(words)]
+            shard = head.shard(context, word, n_shards, shard_pairs)
             order = np.argsort(shard, kind="stable")
-            shard, context, word, place = shard[order], context[order], word[order], place[order]
-            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), size)
-            packed = [pack_block(context[a:b], word[a:b], place[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return rows(1, len(packed), key=pa.array(np.full(len(packed), part)), shard=pa.array(shard[cuts[:-1]].astype(np.int64)), block=pa.array(packed, pa.binary()))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            shard, context, word, times = shard[order], context[order], word[order], times[order]
+            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+            packed = [pack(context[a:b], word[a:b], times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            first = number_of << 32
+            yield rows(_BIGRAMS, len(packed), key=pa.array(np.full(len(packed), part)), shard=pa.array(shard[cuts[:-1]]), place=pa.array(first | cuts[:-1]), block=pa.array(packed, pa.binary()))
+            docs = pack(np.array([d for _, d, _ in held], np.int32), lengths.astype(np.int32))
+            table = len(docs).to_bytes(8, "little") + docs + pack(rank[bigram])
+            yield rows(_TOKENS, 1, key=pa.array([part]), place=pa.array([first]), times=pa.array([len(distinct)]), block=pa.array([table], pa.binary()))
+            number_of, before, size = number_of + 1, int(tokens[-1]), 0
+            held.clear()
 
         for batch in it:
             info, rare = [], []
@@ -178,20 +201,21 @@ def _send(shared, n_shards: int, spread_from: float, arrow_id: pa.DataType):
                 info.append((part | doc, len(words) + 1, len(words) - len(other) + int(head.counts[end] > 0), base))
                 if len(other):
                     rare += [(part | doc, w, n) for w, n in Counter([words[i] for i in other]).items()]
-                held.append((ids, 2 * doc + bool(out)))
-                size += len(ids) + 1
+                ids = np.append(ids, end)
+                while len(ids):  # a long text has parts in several blocks
+                    now, ids = ids[: block_pairs - size], ids[block_pairs - size :]
+                    held.append((now, doc, bool(out)))
+                    size += len(now)
+                    if size >= block_pairs:
+                        yield from blocks()
                 doc += 1
-                if size >= BLOCK_PAIRS:
-                    yield blocks()
-                    held.clear()
-                    size = 0
             keys, tokens, known, base = (pa.array(x) for x in zip(*info, strict=True)) if info else ([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())])
-            yield rows(0, len(info), key=keys, doc_id=batch.column(0), held_out=batch.column(2), n_tokens=tokens, n_known=known, base=base)
+            yield rows(_TEXT, len(info), key=keys, doc_id=batch.column(0), held_out=batch.column(2), n_tokens=tokens, n_known=known, base=base)
             if rare:
                 keys, words, times = zip(*rare, strict=True)
-                yield rows(2, len(rare), key=pa.array(keys), word=pa.array(words, pa.binary()), times=pa.array(times))
+                yield rows(_WORD, len(rare), key=pa.array(keys), word=pa.array(words, pa.binary()), times=pa.array(times))
         if held:
-            yield blocks()
+            yield from blocks()
 
     return batches
 
@@ -212,40 +236,43 @@ def make_trie(head: Head, contexts: np.ndarray, words: np.ndarray, keys: np.ndar
     total = head.context_counts(contexts, np.bincount(c_at, counts, len(contexts)))
     has = np.flatnonzero(total > 0)  # a context that is spread may have no successor here, but its back-off weight
     c_at, total = np.searchsorted(has, c_at), total[has] + smoothing
-    p = (counts + smoothing * 10 ** head.log_p1(words)[w_at]) / total[c_at]
+    share = np.where(words <= head.end, 10 ** head.log_p1(words), 0.0)
+    p = (counts + smoothing * share[w_at]) / total[c_at]
     return Trie.build(contexts[has], words, c_at, w_at, np.log10(p), np.log10(smoothing / total))
 
 
 def _score_shards(shared, smoothing: float):
-    """Replaces the blocks of bigrams (kind 1) by each text's place in its part and the sum of its bigrams'
-    log-probabilities here; lets other rows pass. Rows come in order of their shard, the others' being -1."""
+    """Replaces the blocks of bigrams by their log-probabilities, followed by the places and hashes of those words that
+    aren't numbered and back off; lets other rows pass. Rows come in order of their shard, the others' being -1."""
 
-    def one_shard(parts: list[int], blocks: list[bytes]) -> list[bytes]:
+    def one_shard(blocks: list[bytes]) -> list[bytes]:
         head = _head(shared)
-        found = [unpack_block(b) for b in blocks]
-        places = [p for _, _, p in found]
+        found = [unpack(b, 3) for b in blocks]
+        sizes = [len(c) for c, _, _ in found]
         contexts, c_at = _places(np.concatenate([c for c, _, _ in found]))
         words, w_at = _places(np.concatenate([w for _, w, _ in found]))
+        times = np.concatenate([t for _, _, t in found])
         del found
         keys, at = _places(c_at * len(words) + w_at)
-        del c_at, w_at
-        counts = np.bincount(at, (np.concatenate(places) & 1) == 0, len(keys))
+        counts = np.bincount(at, times, len(keys))
+        del c_at, times
         trie = make_trie(head, contexts, words, keys, counts, smoothing)
         folder = Path(tempfile.mkdtemp(prefix="trie-"))
         try:
             trie.save(folder)
             del trie
             mapped = Trie.load(folder)
-            score = mapped.score_places(contexts, words, *np.divmod(keys, len(words)), head.log_p1(words))[at]
+            score = mapped.score_places(contexts, words, *np.divmod(keys, len(words)), head.log_p1(words)).astype("<f4")[at]
             del mapped
         finally:
             shutil.rmtree(folder, ignore_errors=True)
+        open_ = (counts[at] == 0) & (words[w_at] > head.end)
         out, start = [], 0
-        for p in places:
-            docs, d_at = np.unique(p >> 1, return_inverse=True)
-            sums = np.bincount(d_at, score[start : start + len(p)])
-            start += len(p)
-            out.append(zstandard.ZstdCompressor(level=1).compress(docs.astype("<i4").tobytes() + sums.astype("<f8").tobytes()))
+        for n in sizes:
+            i = np.flatnonzero(open_[start : start + n])
+            scores = pack(score[start : start + n])
+            out.append(len(scores).to_bytes(8, "little") + scores + pack(i.astype("<i4"), words[w_at[start + i]] - head.end - 1))
+            start += n
         return out
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +281,7 @@ def _score_shards(shared, smoothing: float):
         def done() -> pa.RecordBatch:
             all_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
-            parts, blocks = all_.column("key").to_pylist(), all_.column("block").to_pylist()
-            return all_.set_column(all_.schema.get_field_index("block"), "block", pa.array(one_shard(parts, blocks), pa.binary()))
+            return all_.set_column(all_.schema.get_field_index("block"), "block", pa.array(one_shard(all_.column("block").to_pylist()), pa.binary()))
 
         for batch in it:
             shard = batch.column("shard").to_numpy()
@@ -274,52 +300,65 @@ def _score_shards(shared, smoothing: float):
     return batches
 
 
-def _sum_parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, score) from blocks in order of their part; holds one part's sums."""
+def _both(block: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(block[:8], "little")
+    return block[8 : 8 + n], block[8 + n :]
 
-    def rows(part: int, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part | np.arange(len(sums))), pa.array(sums)], names=["key", "score"])
 
-    now, sums = None, np.zeros(0)
+def _sum_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, score, hash, times) from blocks in order, in each the bigrams first: each text's sum in the block, and the
+    hashes of its words that back off. Holds one block."""
+    scores = hashes = None
     for batch in it:
-        for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if part != now:
-                if now is not None:
-                    yield rows(now, sums)
-                now, sums = part, np.zeros(0)
-            raw = zstandard.ZstdDecompressor().decompress(block)
-            n = len(raw) // 12
-            docs, more = np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<f8", n, 4 * n)
-            if docs[-1] >= len(sums):
-                sums = np.append(sums, np.zeros(int(docs[-1]) + 1 - len(sums)))
-            sums[docs] += more
-    if now is not None:
-        yield rows(now, sums)
+        for part, kind, place, times, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if kind == _BIGRAMS:
+                found, open_ = _both(block)
+                (value,), (i, word) = unpack(found, 1), unpack(open_, 2)
+                first = place & 0xFFFFFFFF
+                if scores is None:
+                    scores, hashes = [], []
+                scores.append((first, value))
+                hashes.append((first + i.astype(np.int64), word))
+                continue
+            value = np.zeros(times)
+            for first, v in scores or []:
+                value[first : first + len(v)] = v
+            docs, tokens = _both(block)
+            (doc, lengths), (bigram,) = unpack(docs, 2), unpack(tokens, 1)
+            starts = np.cumsum(lengths) - lengths
+            sums = np.add.reduceat(value[bigram], starts)
+            yield pa.RecordBatch.from_arrays([pa.array(part | doc.astype(np.int64)), pa.array(sums), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64())], names=["key", "score", "hash", "times"])
+            at = np.concatenate([x for x, _ in hashes or []] or [np.zeros(0, np.int64)])
+            if len(at):
+                word = np.full(times, -1)
+                word[at] = np.concatenate([w for _, w in hashes])
+                rows = np.flatnonzero(word[bigram] >= 0)
+                owner = np.repeat(doc.astype(np.int64), lengths)[rows]
+                pairs, n = np.unique(np.stack([owner, word[bigram[rows]]], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part | pairs[:, 0]), pa.nulls(len(n), pa.float64()), pa.array(pairs[:, 1]), pa.array(n)], names=["key", "score", "hash", "times"])
+            scores = hashes = None
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, smoothing: float = SMOOTHING, shard_pairs: int = SHARD_PAIRS, spread_share: float = SPREAD_SHARE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, smoothing: float = SMOOTHING, shard_pairs: int = SHARD_PAIRS, block_pairs: int = BLOCK_PAIRS
 ) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain) of each row of ``docs``; ``gain`` is the
+    score less the base score, by token: high where the model has seen a text's word pairs, most of all if often.
 
     Null and empty texts have one token, the end. Rows with a null id are training rows. Repeated rows are texts of
-    their own. Without training texts all probabilities are those of unseen words. Empty table: empty result.
+    their own. Texts and words of any length are read whole; other columns aren't read. Without training texts all
+    probabilities are those of unseen words. Empty table: empty result.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), common.text_or_empty(text_col).cast("binary").alias("raw"), is_held_out(id_col).alias("held_out"))
     words = slim.filter("NOT held_out").select("raw").mapInArrow(_count_words, "word binary, n long")
-    words = common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words", release=True)
     n_train = slim.filter("NOT held_out").count()
     n_words, v_words = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = (n_words or 0) + n_train, v_words + (n_train > 0)
 
-    short = words.filter(F.length("word") <= HEAD_BYTES)
-    least, room = None, head  # the lowest count that at most ``head`` words reach
-    for count, many in sorted(short.groupBy("n").count().collect(), reverse=True):
-        if many > room:
-            break
-        least, room = count, room - many
-    in_head = F.lit(False) if least is None else (F.length("word") <= HEAD_BYTES) & (F.col("n") >= F.lit(least))
+    short = F.length("word") <= HEAD_BYTES
+    in_head = short & common.most_frequent(words.filter(short), "n", head)
     top = words.filter(in_head).toArrow()
     order = np.argsort(-top.column("n").to_numpy(), kind="stable")
     sent_head = spark.sparkContext.broadcast((top.column("word").take(pa.array(order)).to_pylist(), top.column("n").to_numpy()[order], n, v, n_train))
@@ -330,27 +369,33 @@ def score(
     arrow_id = pa.int64() if id_type.typeName() == "long" else (pa.int32() if id_type.typeName() == "integer" else pa.string())
     if arrow_id == pa.string():
         slim = slim.withColumn("doc_id", F.col("doc_id").cast("string"))
-    sent = slim.mapInArrow(_send(shared, n_shards, spread_share * max(n, 1), arrow_id), _OUT.format(id={pa.int64(): "long", pa.int32(): "int"}.get(arrow_id, "string")))
-    # other rows ride along, spread by their text; all are sent once and nothing is written before the shards have run
-    target = F.when(F.col("kind") == 1, F.col("shard")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n_shards)))
-    dealt = sent.repartition(n_shards, target).sortWithinPartitions(F.coalesce("shard", F.lit(-1).cast("long")))
-    dealt = dealt.withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long")))
-    sent = common.materialize(dealt.mapInArrow(_score_shards(shared, smoothing), sent.schema), "bigrams")
-    sums = sent.filter("kind = 1").select(F.col("key").alias("part"), "block")
-    sums = sums.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_parts, "key long, score double")
-
-    rare = sent.filter("kind = 2").select("key", "word", "times").join(words.filter(~in_head), "word", "left")
+    sent = slim.mapInArrow(_send(shared, n_shards, shard_pairs, block_pairs, arrow_id), _OUT.format(id={pa.int64(): "long", pa.int32(): "int"}.get(arrow_id, "string")))
+    # other rows ride along, spread by their text or block; all are sent once and nothing is written before the shards have run
+    target = F.when(F.col("kind") == _BIGRAMS, F.col("shard")).otherwise(F.pmod(F.xxhash64("key", "place"), F.lit(n_shards)))
+    dealt = sent.repartition(n_shards, target).withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long"))).sortWithinPartitions("shard")
+    sent = common.materialize(dealt.mapInArrow(_score_shards(shared, smoothing), sent.schema), "bigrams", release=True)
+    number = F.shiftright("place", 32)
+    blocks = sent.filter(F.col("kind").isin(_BIGRAMS, _TOKENS)).select("key", "kind", "place", "times", "block")
+    blocks = blocks.repartition("key", number).sortWithinPartitions("key", number, "kind")
+    sums = common.materialize(blocks.mapInArrow(_sum_blocks, "key long, score double, hash long, times long"), "sums", release=True)
+
+    open_ = sums.filter("hash IS NOT NULL").groupBy(F.col("key").alias("open_key"), "hash").agg(F.sum("times").alias("open_times"))
     total = F.lit(float(n + v + 1))
+    rare = sent.filter(F.col("kind") == _WORD).select("key", "word", "times").join(words.filter(~in_head), "word", "left")
+    rare = rare.withColumn("log_p1", F.log10((F.coalesce("n", F.lit(0)) + 1) / total)).withColumn("own_hash", F.shiftrightunsigned(F.xxhash64("word"), 2))
+    rare = rare.join(open_, (F.col("key") == F.col("open_key")) & (F.col("own_hash") == F.col("hash")), "left")
     rare = rare.groupBy("key").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / total)).alias("rare_base"),
+        F.sum(F.col("times") * F.col("log_p1")).alias("rare_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("open_times") * F.col("log_p1")).alias("rare_score"),
     )
-    info = sent.filter("kind = 0").select("key", "doc_id", "held_out", "n_tokens", "n_known", "base")
+    sums = sums.filter("score IS NOT NULL").groupBy("key").agg(F.sum("score").alias("sum"))
+    info = sent.filter(F.col("kind") == _TEXT).select("key", "doc_id", "held_out", "n_tokens", "n_known", "base")
     out = info.join(sums, "key", "left").join(rare, "key", "left")
     return out.select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), (F.col("sum") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+    ).withColumn("gain", (F.col("score") - F.col("base_score")) / F.col("n_tokens"))
 
 
 def query(spark, sf_dir):
