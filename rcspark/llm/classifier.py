@@ -81,8 +81,9 @@ def classify(
     """(id, host, path, n_host, n_path, evidence, site_rate, posterior, kept) for each row of ``docs``.
 
     ``labels``: (id, quality), 1 for good; null labels and ids are ignored, an id's labels are averaged. Null hosts or
-    paths are sites of their own. With labels of one kind only, evidence is 0. Empty texts are scored as such; an
-    empty table gives an empty result. Repeated rows count as often as they are there.
+    paths are sites of their own. With labels of one kind only, evidence is 0. Null and empty texts are scored as such,
+    texts of any length whole; an empty table gives an empty result. Repeated rows and ids count as often as they are
+    there. Other columns aren't read.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     feats = rules.features(docs, "text", ["id", "host", "path"]).withColumn("log_words", F.log1p("n_words"))

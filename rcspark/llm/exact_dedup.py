@@ -39,7 +39,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The row with the smallest id of each group of equal texts is kept; rows that repeat that id are all marked kept.
     Null ids: a null loses against any id; in a group of null ids only, keep_id is null and its rows are kept. Null
-    texts count as empty. Empty table: empty result.
+    texts count as empty; texts of any length are compared whole. Other columns pass, whatever their names. Empty table:
+    empty result.
     """
     out_names = ["keep_id", "group_size", "kept", "text_sha256"]
     rest = [c for c in docs.columns if c not in out_names]
@@ -57,6 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.count(F.lit(1)).alias(texts),
         ).withColumnRenamed("digest", digest),
         "dedup",
+        release=True,
     )
     total, most = by_digest.agg(F.sum(members), F.max(texts)).first()
     marked = docs.select(*rest, F.sha2(normalized(text_col), 256).alias(digest))
@@ -81,7 +83,8 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: keeps the first document of each group of equal texts."""
+    """Pipeline stage: keeps the first document of each group of equal texts, and rows that repeat its id, as
+    ``exact_groups`` marks them; nulls, long texts and other columns as there."""
     out = exact_groups(docs)
     return out.filter("kept").select(*docs.columns)
 

@@ -280,5 +280,5 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Last pipeline stage: the packed pieces of the documents that are left."""
+    """Last pipeline stage: the packed pieces of the documents that are left, each row's by itself; see ``pack``."""
     return pack(docs, default_tokenizer())

@@ -170,6 +170,7 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: redacts every reported span; n_chars follows the text."""
+    """Pipeline stage: redacts every reported span; n_chars follows the text. No row goes; nulls stay, columns of any name
+    pass."""
     out = scan(docs, redact=True).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
