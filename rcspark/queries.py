@@ -13,7 +13,7 @@ from .config import Config
 from .functions import metrics
 from .functions.vectors import dims
 from .operators import folds, frames, jacobian, recurrence, ridge, stats, weights
-from .plans import ensemble, members, model as plans, search
+from .plans import ensemble, members as member_plans, model as plans, search
 from .sources import chaos, series as src, store
 
 QUERIES: dict = {}
@@ -742,6 +742,6 @@ def parametric_fit(spark, sf_dir):
 def strategy_comparison(spark, sf_dir):
     """Validation against test over an ensemble on the Lorenz system, by strategy: rank correlation, and the member kept.
     Small, for the catalogue; ``members.lorenz_experiment()`` has the published size by default."""
-    data, rest, cfg, strategies, tests = members.lorenz_experiment(windows=8, n_units=40, n_grid=2, n_func_evals=4)
-    found = members.compare(spark, data, rest, cfg, strategies, list(range(1, 5)), tests).cache()
+    data, rest, cfg, strategies, tests = member_plans.lorenz_experiment(windows=8, n_units=40, n_grid=2, n_func_evals=4)
+    found = member_plans.compare(spark, data, rest, cfg, strategies, list(range(1, 5)), tests).cache()
     return ensemble.spearman(found, ["strategy"]).join(ensemble.selection(found, ["strategy"]), "strategy")
