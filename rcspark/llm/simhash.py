@@ -44,8 +44,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: These bear on its cost only: least hashes of a text that are tried first, shingles counted at once, and the shingles
 #: ordered by their counts: from which count, and how many at most.
 STARS, CHUNK, OFTEN, MOST_ORDERED = 4, 2_000_000, 8, 200_000
-#: Bits of a set's sketch.
+#: Bits of a set's sketch; shingles of a text that tell whether a pair has been seen before.
 SKETCH_BITS = 512
+EARLY = 8
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -358,7 +359,9 @@ def near_groups(
 ) -> DataFrame:
     """(id, fingerprint, component_id) of each row of ``docs``.
 
-    Null ids take part, but never name a component that has another. Empty table: empty result.
+    Null ids take part, but never name a component that has another; rows that repeat an id have a fingerprint each. Null
+    and empty texts have fingerprint zero; texts of any length are read whole. Other columns aren't read. Empty table:
+    empty result.
     """
     marked = common.materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     by_fp = common.materialize(marked.groupBy("fp").agg(F.min(id_col).alias("low_id"), F.count(F.lit(1)).alias("docs")), "by_fp")
@@ -510,14 +513,18 @@ def _postings(shared, block: int):
             sub = np.minimum(i, j) * many[row] + np.maximum(i, j)
             for k in range(0, len(row), 1 << 18):
                 r = row[k : k + (1 << 18)]
-                cols = [token.view(np.int64)[r], sub[k : k + (1 << 18)], place[r], size[r], node[r], label[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "sub", "place", "size", "node", "label"])
+                cols = [token.view(np.int64)[r], sub[k : k + (1 << 18)], place[r].astype(np.int32), size[r].astype(np.int32), node[r], label[r]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_POSTING)
 
     return batches
 
 
-def overlapping(group: np.ndarray, place: np.ndarray, size: np.ndarray, node: np.ndarray, label: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes inside each run of equal ``group`` values, of different labels, that can be as similar as
+_POSTING = ["token", "sub", "place", "size", "node", "label"]
+_POSTING_TYPES = "token long, sub long, place int, size int, node long, label long"
+
+
+def overlapping(group: np.ndarray, place: np.ndarray, size: np.ndarray, label: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows inside each run of equal ``group`` values, of different labels, that can be as similar as
     ``least`` if the shared token is the first one they share; in bounded lots."""
     n = len(group)
     left, share = size - place, least / (1 + least)
@@ -533,54 +540,106 @@ def overlapping(group: np.ndarray, place: np.ndarray, size: np.ndarray, node: np
         if not len(i):
             break
         i = i[apart(i, i + d)]
-        yield node[i], node[i + d]
+        yield i, i + d
     for s, many in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
         labels, at = np.unique(label[s : s + many], return_inverse=True)
         rest = s + np.flatnonzero(at != np.bincount(at).argmax())  # the largest group's texts need no comparison
         every = np.arange(s, s + many)
-        rows = max(1, (1 << 20) // many)
+        rows = max(1, (1 << 18) // many)
         for k in range(0, len(rest) if len(labels) > 1 else 0, rows):
             i, j = np.nonzero(apart(rest[k : k + rows, None], every[None, :]))
-            yield node[rest[k + i]], node[every[j]]
+            yield rest[k + i], every[j]
 
 
-def _pairs(least: float):
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in range(6)]
+def _by_token(work):
+    """``work`` on whole groups of postings, which come in order of their token and sub. Its columns are numpy arrays."""
 
-        def pairs(cols):
-            token, sub, *rest = cols
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (sub[1:] != sub[:-1])
-            for a, b in overlapping(np.cumsum(new), *rest, least):
-                if len(a):
-                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def numbers(column: pa.Array) -> np.ndarray:
+            if pa.types.is_integer(column.type):
+                return column.to_numpy()
+            if pa.types.is_list(column.type):  # of at most EARLY numbers, filled up with zeros
+                lengths = column.value_lengths().to_numpy()
+                out = np.zeros((len(column), EARLY), np.int64)
+                out[np.arange(EARLY) < lengths[:, None]] = column.flatten().to_numpy()
+                return out
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+        def groups(cols):
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            return work(np.cumsum(new), cols)
 
         for batch in it:
-            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = [numbers(c) for c in batch.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             held = [c[last] for c in cols]
-            yield from pairs([c[~last] for c in cols])
-        yield from pairs(held)
+            if not last.all():
+                yield from groups([c[~last] for c in cols])
+        if held is not None:
+            yield from groups(held)
+        del held
         pa.default_memory_pool().release_unused()  # the worker lives on
 
     return batches
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(id, component_id) of the rows that follow another in a group (the first one isn't listed): joined by all pairs
-    whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity`` (above 0).
+def _live(least: float):
+    """The postings that are in a pair at all."""
+
+    def work(group, cols):
+        _, _, place, size, _, label = cols
+        live = np.zeros(len(group), bool)
+        for i, j in overlapping(group, place, size, label, least):
+            live[i] = live[j] = True
+        if live.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[live]) for c in cols], names=_POSTING)
+
+    return _by_token(work)
+
+
+def seen_before(token: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two texts meet at another shingle before ``token``. a, b: the first of their live shingles, in the common
+    order, filled up with zeros: the first that both have is ``token``, or comes before it."""
+    both = (a[:, :, None] == b[:, None, :]).any(2) & (a != 0)
+    return both.any(1) & (a[np.arange(len(a)), both.argmax(1)] != token)
+
+
+def _pairs(least: float):
+    """The pairs that their sketches don't rule out, most of them at the first shingle that they share only."""
+
+    def work(group, cols):
+        token, _, place, size, node, label, sketches, early = cols
+        most = (1 - least) / (1 + least)
+        for i, j in overlapping(group, place, size, label, least):
+            if not len(i):
+                continue
+            differ = np.bitwise_count(sketches[i] ^ sketches[j]).sum(1, dtype=np.int64)
+            possible = differ <= most * (size[i] + size[j]) + 1e-6
+            i, j = i[possible], j[possible]
+            new = ~seen_before(token[i], early[i], early[j])
+            a, b = node[i[new]], node[j[new]]
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return _by_token(work)
+
+
+def similar_rows(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the nodes that aren't the smallest of their group, and that smallest node. ``rows``: (node long,
+    raw binary), written to stay as they are, nodes distinct and not null. Groups are joined by all pairs whose sets of
+    ``words``-word shingles have a Jaccard similarity of at least ``similarity`` (above 0).
 
     Candidates are complete by prefix filtering: in any common order of the shingles, two sets so similar share one
     among the first of each. Rare ones come first, which bears on the cost only. Texts with equal sets are one. Pairs
-    inside a group that is known aren't compared. Rows without an id are in no group; rows that repeat an id count as
-    one, by one of their texts. Empty texts are alike. Empty table: empty result."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t")).filter("node IS NOT NULL").dropDuplicates(["node"])
-    rows = common.materialize(rows.select("node", common.text_or_empty("t").cast("binary").alias("raw")), "texts")
+    inside a group that is known aren't compared."""
+    spark = rows.sparkSession
     described = common.materialize(rows.mapInArrow(_describe(words), "node long, digest binary, size long, sketch binary, least array<long>, token long, n long"), "described")
     sets = described.filter("node IS NOT NULL")
     by_set = common.materialize(sets.groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_set")
@@ -593,28 +652,61 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], counts[order]))
 
-    def verified(edges: DataFrame) -> DataFrame:
+    def possible(edges: DataFrame) -> DataFrame:
         of = lambda x: sets.select(F.col("node").alias(f"n{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         sketched = edges.distinct().join(of("a"), F.col("a") == F.col("na")).join(of("b"), F.col("b") == F.col("nb")).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
-        edges = common.materialize(sketched.mapInArrow(_possible(similarity), "a long, b long"), "candidates")
+        return sketched.mapInArrow(_possible(similarity), "a long, b long")
+
+    def verified(edges: DataFrame) -> DataFrame:
+        edges = common.materialize(edges, "candidates", release=True)
         ends = common.materialize(edges.select(F.col("a").alias("end")).distinct().unionAll(edges.select("b").distinct()).distinct(), "ends")  # its size tells whether to broadcast it
         texts = rows.join(ends, F.col("node") == F.col("end"), "left_semi")
         found = common.materialize(texts.mapInArrow(_shingle_sets(words), "node long, shingles binary"), "shingles")
         side = lambda x: found.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
         both = edges.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
-        return common.materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "verified")
+        return common.materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "verified", release=True)
 
     # first each text with the first one that shares a least hash: inside the groups so made no pairs are needed
     least = reps.select("node", F.explode("least").alias("token"))
     stars = common.materialize(least.groupBy("token").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "stars")
-    close = verified(common.lookup_join(least, stars, ["token"], "docs", stars.agg(F.sum("docs")).first()[0] or 0).filter("centre < node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    stars = common.lookup_join(least, stars, ["token"], "docs", stars.agg(F.sum("docs")).first()[0] or 0).filter("centre < node")
+    close = verified(possible(stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))))
     packed = rows.mapInArrow(_prefixes(words, shared, similarity), "node long, size long, firsts binary").join(reps.select(F.col("node").alias("own")), F.col("node") == F.col("own"), "left_semi")
     roots = components(close).withColumnRenamed("node", "member")
-    labelled = common.materialize(packed.join(roots, F.col("node") == F.col("member"), "left").select("node", "size", "firsts", F.coalesce("root", "node").alias("label")), "prefixes")
-    postings = labelled.mapInArrow(_postings(shared, block), "token long, sub long, place long, size long, node long, label long")
-    dealt = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "sub").sortWithinPartitions("token", "sub")
-    wide = verified(dealt.mapInArrow(_pairs(similarity), "a long, b long"))
-    return components(close.unionAll(wide).unionAll(same)).select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    labelled = common.materialize(packed.join(roots, F.col("node") == F.col("member"), "left").select("node", "size", "firsts", F.coalesce("root", "node").alias("label")), "prefixes", release=True)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_token = lambda x: x.repartition(width, "token", "sub").sortWithinPartitions("token", "sub")
+    postings = by_token(labelled.mapInArrow(_postings(shared, block), _POSTING_TYPES))
+    live = common.materialize(postings.mapInArrow(_live(similarity), _POSTING_TYPES), "live", release=True)  # most postings have no partner
+    early = live.groupBy(F.col("node").alias("own")).agg(F.array_sort(F.collect_set(F.struct("place", "token"))).alias("all")).select("own", F.slice("all.token", 1, EARLY).alias("early"))
+    early = early.join(sets.select(F.col("node").alias("its"), "sketch"), F.col("own") == F.col("its"))
+    sketched = live.join(early, F.col("node") == F.col("own")).select(*_POSTING, "sketch", "early")
+    wide = verified(by_token(sketched).mapInArrow(_pairs(similarity), "a long, b long").distinct())  # a pair may come more than once
+    return components(close.unionAll(wide).unionAll(same))
+
+
+def followers(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, id, component_id) of all but the first row of each group, by id (null last), then by node. ``rows``:
+    (node, id); ``roots``: as ``similar_rows`` gives them."""
+    members = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = common.materialize(members.withColumnRenamed("node", "member").join(rows, F.col("member") == F.col("node")).select("node", "id", "root"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("first"), F.count(F.lit(1)).alias("docs"))
+    first = common.materialize(first.select("root", F.col("first.id").alias("component_id"), F.col("first.node").alias("first_node"), "docs"), "firsts")
+    out = common.lookup_join(members, first, ["root"], "docs", members.count())
+    return out.filter("node <> first_node").select("node", "id", "component_id")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(id, component_id) of the rows that follow another in a group (the first one isn't listed): joined by all pairs
+    whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
+
+    Rows are told apart by a number of their own, so repeated and null ids are rows like others; a group is named by
+    its smallest id, null only if it has no other. Empty and null texts are alike. Texts of any length are read whole.
+    Other columns aren't read. Empty table: empty result."""
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"), common.text_or_empty(text_col).cast("binary").alias("raw"))
+    rows = common.materialize(rows, "texts")
+    found = followers(rows.select("node", "id"), similar_rows(rows.select("node", "raw"), words, similarity, block))
+    return found.select(F.col("id").alias(id_col), "component_id")
 
 
 def query(spark, sf_dir):
@@ -622,7 +714,11 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays. Near are documents
-    whose shingles of five words have a similarity of 0.8 or more."""
-    go = similar_groups(docs).select(F.col("doc_id").alias("go_id"))
-    return docs.join(go, F.col("doc_id") == F.col("go_id"), "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates the row with the smallest id stays. Near are documents whose
+    shingles of five words have a similarity of 0.8 or more. Groups are of rows, not of ids; nulls and long texts are as
+    in ``similar_groups``. Columns of any name pass as they are."""
+    node = common.fresh_name(docs.columns, "node")
+    rows = common.materialize(docs.select(F.monotonically_increasing_id().alias(node), *docs.columns), "documents")
+    texts = rows.select(F.col(node).alias("node"), common.text_or_empty("text").cast("binary").alias("raw"))
+    go = followers(rows.select(F.col(node).alias("node"), F.col("doc_id").alias("id")), similar_rows(texts)).select(F.col("node").alias("go"))
+    return rows.join(go, F.col(node) == F.col("go"), "left_anti").select(*docs.columns)
