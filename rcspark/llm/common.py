@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,20 @@ def in_session(df: DataFrame, session: SparkSession) -> DataFrame:
     return type(df)(made, session)
 
 
+def small_batches(rows: int) -> dict[str, str]:
+    """Settings under which Python workers, and the buffers on the way to them, hold at most ``rows`` rows at once."""
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+
+
+def release_memory() -> None:
+    """Gives what a task has freed back to the system: its worker lives on, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -45,7 +45,9 @@ HEAD_BYTES = 64
 SMOOTHING = 8.0
 SHARD_PAIRS = 1_500_000
 BLOCK_PAIRS = 1_000_000
-_COUNTER_WORDS = 400_000
+_COUNTER_WORDS = 200_000
+#: Texts that a worker is sent at once.
+_BATCHES = common.small_batches(1000)
 _KEY_BITS = 33
 #: Spark's seed of xxhash64, so that joins find the same hashes.
 _SEED = 42
@@ -86,6 +88,7 @@ def _head(shared) -> Head:
     if name not in _HEADS:
         _HEADS.clear()
         _HEADS[name] = Head(*sent.value)
+        common.release_memory()
     return _HEADS[name]
 
 
@@ -103,6 +106,8 @@ def _count_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
                 counts.clear()
     yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    del counts
+    common.release_memory()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -168,28 +173,39 @@ def _send(shared, n_shards: int, shard_pairs: int, block_pairs: int, arrow_id: p
 
         def blocks() -> Iterator[pa.RecordBatch]:
             nonlocal number_of, before, size
-            tokens = np.concatenate([x for x, _, _ in held])
             lengths = np.array([len(x) for x, _, _ in held], np.int64)
+            docs = pack(np.array([d for _, d, _ in held], np.int32), lengths.astype(np.int32))
             training = np.repeat([not out for _, _, out in held], lengths)
-            codes, words = pd.factorize(np.append(tokens, before))
-            after = np.append(codes[-1:], codes[:-2]).astype(np.int64)  # the token before each
-            bigram, distinct = pd.factorize(after * len(words) + codes[:-1])
-            times = np.bincount(bigram, training, len(distinct)).astype(np.int32)
+            tokens = np.concatenate([*(x for x, _, _ in held), [before]])
+            held.clear()
+            before = int(tokens[-2])
+            codes, words = pd.factorize(tokens)  # arrays of a block are large: each goes as soon as it can
+            del tokens
+            pairs = np.append(codes[-1:], codes[:-2]).astype(np.int64)  # the token before each
+            pairs *= len(words)
+            pairs += codes[:-1]
+            del codes
+            bigram, distinct = pd.factorize(pairs)
+            bigram = bigram.astype(np.int32)
+            del pairs
+            times = np.bincount(bigram[training], minlength=len(distinct)).astype(np.int32)
+            del training
             context, word = words[distinct // len(words)], words[distinct % len(words)]
+            del distinct
             shard = head.shard(context, word, n_shards, shard_pairs)
             order = np.argsort(shard, kind="stable")
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
+            table = len(docs).to_bytes(8, "little") + docs + pack(rank[bigram])
+            n_bigrams = len(order)
+            del rank, bigram
             shard, context, word, times = shard[order], context[order], word[order], times[order]
             cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
             packed = [pack(context[a:b], word[a:b], times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             first = number_of << 32
             yield rows(_BIGRAMS, len(packed), key=pa.array(np.full(len(packed), part)), shard=pa.array(shard[cuts[:-1]]), place=pa.array(first | cuts[:-1]), block=pa.array(packed, pa.binary()))
-            docs = pack(np.array([d for _, d, _ in held], np.int32), lengths.astype(np.int32))
-            table = len(docs).to_bytes(8, "little") + docs + pack(rank[bigram])
-            yield rows(_TOKENS, 1, key=pa.array([part]), place=pa.array([first]), times=pa.array([len(distinct)]), block=pa.array([table], pa.binary()))
-            number_of, before, size = number_of + 1, int(tokens[-1]), 0
-            held.clear()
+            yield rows(_TOKENS, 1, key=pa.array([part]), place=pa.array([first]), times=pa.array([n_bigrams]), block=pa.array([table], pa.binary()))
+            number_of, size = number_of + 1, 0
 
         for batch in it:
             info, rare = [], []
@@ -216,6 +232,7 @@ def _send(shared, n_shards: int, shard_pairs: int, block_pairs: int, arrow_id: p
                 yield rows(_WORD, len(rare), key=pa.array(keys), word=pa.array(words, pa.binary()), times=pa.array(times))
         if held:
             yield from blocks()
+        common.release_memory()
 
     return batches
 
@@ -296,6 +313,7 @@ def _score_shards(shared, smoothing: float):
                     held.append(part)
         if held:
             yield done()
+        common.release_memory()
 
     return batches
 
@@ -337,6 +355,7 @@ def _sum_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs, n = np.unique(np.stack([owner, word[bigram[rows]]], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part | pairs[:, 0]), pa.nulls(len(n), pa.float64()), pa.array(pairs[:, 1]), pa.array(n)], names=["key", "score", "hash", "times"])
             scores = hashes = None
+    common.release_memory()
 
 
 def score(
@@ -352,7 +371,7 @@ def score(
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), common.text_or_empty(text_col).cast("binary").alias("raw"), is_held_out(id_col).alias("held_out"))
     words = slim.filter("NOT held_out").select("raw").mapInArrow(_count_words, "word binary, n long")
-    words = common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words", release=True)
+    words = common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words", release=True, settings=_BATCHES)
     n_train = slim.filter("NOT held_out").count()
     n_words, v_words = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = (n_words or 0) + n_train, v_words + (n_train > 0)
@@ -373,7 +392,7 @@ def score(
     # other rows ride along, spread by their text or block; all are sent once and nothing is written before the shards have run
     target = F.when(F.col("kind") == _BIGRAMS, F.col("shard")).otherwise(F.pmod(F.xxhash64("key", "place"), F.lit(n_shards)))
     dealt = sent.repartition(n_shards, target).withColumn("shard", F.coalesce("shard", F.lit(-1).cast("long"))).sortWithinPartitions("shard")
-    sent = common.materialize(dealt.mapInArrow(_score_shards(shared, smoothing), sent.schema), "bigrams", release=True)
+    sent = common.materialize(dealt.mapInArrow(_score_shards(shared, smoothing), sent.schema), "bigrams", release=True, settings=_BATCHES)
     number = F.shiftright("place", 32)
     blocks = sent.filter(F.col("kind").isin(_BIGRAMS, _TOKENS)).select("key", "kind", "place", "times", "block")
     blocks = blocks.repartition("key", number).sortWithinPartitions("key", number, "kind")

@@ -46,14 +46,15 @@ PARTITION_UNITS = 20_000
 SHORT = 60
 LONG = 200
 #: Characters that are cut at once, and rows of counts that a task holds.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 20
 _COUNT_CHARS = 1 << 19
 _COUNTED_ROWS = 600_000
+_COMPARED = 20_000
 #: Frequent units that texts are compressed against, for their way through the shuffle.
 _PRIMER_UNITS = 8192
 #: Texts that a worker holds at once.
-BATCH_ROWS = 2000
-_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+BATCH_ROWS = 1000
+_BATCHES = common.small_batches(BATCH_ROWS)
 
 _MODELS: dict[str, "Pieces"] = {}
 _HEADS: dict[str, dict[str, bytes]] = {}
@@ -436,7 +437,7 @@ def _count_units(path: str):
                         yield from out(held.pop())
         if held:
             yield from out(summed())
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        common.release_memory()
 
     return batches
 
@@ -459,8 +460,10 @@ class Codes:
         widths = np.array([len(x) for x in pieces.raw], np.int64)
         own = _ragged(self.starts, self.lengths, self.values)
         decoded = _ragged((np.cumsum(widths) - widths)[own], widths[own], raw).tobytes()
-        ends = np.concatenate([[0], np.cumsum(widths[own])])[np.concatenate([[0], np.cumsum(self.lengths)])].tolist()
-        self.fine = np.array([decoded[i:j] == u for i, j, u in zip(ends, ends[1:], self.units.cast(pa.large_binary()).to_pylist())], bool)
+        ends = np.concatenate([[0], np.cumsum(widths[own])])[np.concatenate([[0], np.cumsum(self.lengths)])]
+        raw_units = self.units.cast(pa.large_binary())
+        fine = [[decoded[i:j] == u for i, j, u in zip(ends[k : k + _COMPARED].tolist(), ends[k + 1 : k + 1 + _COMPARED].tolist(), raw_units[k : k + _COMPARED].to_pylist())] for k in range(0, len(raw_units), _COMPARED)]
+        self.fine = np.array([x for part in fine for x in part], bool)
 
     def find(self, units: pa.Array) -> np.ndarray:
         """The number of each unit, -1 for those that aren't here."""
@@ -483,6 +486,7 @@ def _head(path: str, shared) -> Head:
     if name not in _HEADS:
         _HEADS.clear()
         _HEADS[name] = Head(*sent.value, model(path))
+        common.release_memory()
     return _HEADS[name]
 
 
@@ -499,7 +503,7 @@ def _other_units(path: str, shared):
                 found = units.take(pa.array(rare)).dictionary_encode()
                 pairs = np.unique((np.array(owners, np.int64)[part[rare]] << 32) | found.indices.to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[pairs >> 32]), found.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())], names=["key", "unit"])
-        pa.default_memory_pool().release_unused()
+        common.release_memory()
 
     return batches
 
@@ -542,7 +546,7 @@ def _assemble(path: str, shared):
                 out.append(ids)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([*out, np.zeros(0, "<i4")]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes), pa.array(crcs, pa.int64()), pa.array(same)], names=["id", "ids", "n_pieces", "ids_crc32", "round_trip"])
-        pa.default_memory_pool().release_unused()
+        common.release_memory()
 
     return batches
 

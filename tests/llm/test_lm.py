@@ -108,3 +108,13 @@ def test_blocks_round_trip():
     for a, b in zip(lm.unpack(lm.pack(*x), 3), x):
         assert (a == b).all() and a.dtype == b.dtype
     assert len(lm.unpack(lm.pack(np.zeros(0, np.int64)), 1)[0]) == 0
+
+
+def test_a_worker_holds_few_texts_and_gives_memory_back(spark, monkeypatch):
+    """What a worker is sent at once is bounded by this operator, not by the session (10,000 texts)."""
+    seen = []
+    real = lm.common.materialize
+    monkeypatch.setattr(lm.common, "materialize", lambda df, name, *a, **k: seen.append((name, k.get("settings") or {})) or real(df, name, *a, **k))
+    lm.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")).collect()
+    sizes = {name: int(s.get("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)) for name, s in seen}
+    assert sizes["words"] <= 1000 and sizes["bigrams"] <= 1000

@@ -102,3 +102,18 @@ def test_odd_rows(spark, odd_docs):
     got = pieces.encode(odd_docs, pieces.default_model())
     assert sorted(str((r.doc_id, r.ids)) for r in got.collect()) == want
     assert pieces.encode(odd_docs.limit(0), pieces.default_model()).count() == 0
+
+
+def test_working_arrays_do_not_grow_with_the_batch(tmp_path):
+    """A chunk's arrays, several of four and eight bytes a character, were over 100 MB."""
+    import tracemalloc
+
+    own = pieces.model(pieces.default_model())
+    texts = ["the quick brown fox " * 200] * 1500  # six million characters
+    own.split([texts[0]])
+    tracemalloc.start()
+    for parts, _ in own.chunks(texts):
+        own.split(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
