@@ -5,12 +5,14 @@ score them by format and context. What is to be found beyond the base spans is p
 trees must not see what tells base spans from others: a plus, an at sign, a check digit and the range of an octet are
 hidden, and spelt-out signs are read as signs. Positive are the candidates that touch a base span or pass the check of
 their format (account numbers); those that fail it are known to be none and are never reported. All others are
-unlabelled: some are personal data. The trees learn, on one half of a bounded sample, to tell positive candidates from
-the rest; the other half tells how they score positive ones, and so what share of the unlabelled ones with a score is
+unlabelled: some are personal data. The trees learn, on one half of all candidates, to tell positive ones from the rest;
+the other half tells how they score positive ones, and so what share of the unlabelled ones with a score is
 personal data (Elkan and Noto's estimate for positive and unlabelled data, generator by generator). The threshold of
 each generator is where the expected precision of what is reported falls to ``precision``.
 
-Texts are read once; their spans and candidates are all that is written.
+Texts are read once; their spans and candidates are all that is written. Candidates with the same features are one row with
+their number, so trees and thresholds come from every one of them: the driver sums such rows itself if they are few, else
+Spark does, by node and bin, and the trees are the same.
 """
 
 from __future__ import annotations
@@ -46,7 +48,11 @@ CONTEXTS = {
 FEATURES = ["generator", "n_chars", "n_digits", "n_letters", "n_blanks", "n_points", "n_dashes", "n_groups", "has_paren", *CONTEXTS]
 #: What a candidate's format says of it.
 FAILED, UNKNOWN, PASSED = -1, 0, 1
-SAMPLE = 20_000
+#: Distinct candidates that the driver holds while it grows trees; bears on cost only.
+DRIVER_ROWS = 200_000
+ROUNDS, BINS = 30, 8
+#: Scores are told apart to this part of a log-odds.
+LEVEL = 1 / 256
 PRECISION = 0.9
 LEAST_EACH = 30
 
@@ -142,43 +148,69 @@ def touches(c: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
 
-def expected_cut(score: np.ndarray, y: np.ndarray, open_: np.ndarray, precision: float) -> float:
+def expected_cut(score: np.ndarray, y: np.ndarray, open_: np.ndarray, precision: float, weight: np.ndarray | None = None) -> float:
     """The score from which on candidates are reported. score: the chance to be positive, of one generator's held-out
-    candidates; y: whether they are; open_: whether they may be reported. The chance that an open one is personal data
+    candidates; y: whether they are; open_: whether they may be reported; weight: how many are alike. The chance that an open one is personal data
     is its score by the mean score of positive ones. All with a chance from some point on are reported: the mean of their
     chances is to be at least ``precision``, and none is below a half."""
-    typical = score[y > 0].mean()
-    chance = np.sort(np.minimum(score[open_] / typical, 1.0))[::-1]
-    means = np.cumsum(chance) / np.arange(1, len(chance) + 1)
+    weight = np.ones(len(score)) if weight is None else weight
+    typical = np.average(score[y > 0], weights=weight[y > 0])
+    chance = np.minimum(score[open_] / typical, 1.0)
+    order = np.argsort(-chance, kind="stable")
+    chance, many = chance[order], weight[open_][order]
+    means = np.cumsum(chance * many) / np.cumsum(many)
     whole = np.append(chance[1:] != chance[:-1], True) if len(chance) else np.zeros(0, bool)
     enough = np.flatnonzero((means >= precision) & whole & (chance >= 0.5))
     return float(typical * min(precision, chance[enough[-1]] if len(enough) else precision))
 
 
-def train(rows: list, precision: float = PRECISION) -> tuple[boosting.Boosted, dict[int, float]] | None:
-    """rows: the features, whether positive, whether it may be reported, which half. The trees, and the cut, in
-    log-odds, of each generator that has enough positive candidates to tell; None if the trees have nothing to tell."""
-    data = np.array(rows, float).reshape(-1, len(FEATURES) + 3)
-    x, y, open_, half = data[:, :-3], data[:, -3], data[:, -2] == 1, data[:, -1] == 1
-    if min(y[h].sum() for h in (half, ~half)) < LEAST_EACH or min((1 - y[h]).sum() for h in (half, ~half)) < LEAST_EACH:
+def train(one: DataFrame, precision: float = PRECISION) -> tuple[boosting.Boosted, dict[int, float]] | None:
+    """``one``: of every candidate the features, y (whether positive), open (whether it may be reported) and half, as
+    whole numbers. The trees, and the cut, in log-odds, of each generator that has enough positive candidates to tell;
+    None if the trees have nothing to tell."""
+    labels = ["y", "open", "half"]
+    alike = common.materialize(one.groupBy(*FEATURES, *labels).agg(F.count(F.lit(1)).alias("n")), "alike")
+    many = {(r.half, r.y): r.n for r in alike.groupBy("half", "y").agg(F.sum("n").alias("n")).collect()}
+    if min(many.get((h, y), 0) for h in (0, 1) for y in (0, 1)) < LEAST_EACH:
         return None
-    model = boosting.fit(x[half], y[half], FEATURES)
-    score = 1 / (1 + np.exp(-model.predict(x, FEATURES)))
-    cuts = {}
+    own = alike.filter("half = 1")
+    values = own.select("n", F.posexplode(F.array(*FEATURES)).alias("f", "value")).groupBy("f", "value").agg(F.sum("n").alias("n")).orderBy("f", "value").toArrow()
+    f, value, n = (values.column(c).to_numpy() for c in ("f", "value", "n"))
+    cuts = {name: boosting.quantiles(value[f == k], n[f == k], BINS) for k, name in enumerate(FEATURES)}
+
+    def binned(name: str) -> Column:  # a whole number stands for all between the same cuts
+        out = F.lit(int(cuts[name][0]))
+        for c in cuts[name]:
+            out = F.when(F.col(name) > F.lit(int(c)), int(c) + 1).otherwise(out)
+        return out.alias(name)
+
+    cells = common.materialize(alike.select(*map(binned, FEATURES), *labels, "n").groupBy(*FEATURES, *labels).agg(F.sum("n").alias("n")), "cells")
+    mean = many[1, 1] / (many[1, 0] + many[1, 1])
+    own, other = cells.filter("half = 1"), cells.filter("half = 0")
+    if cells.count() <= DRIVER_ROWS:
+        held = own.toArrow()
+        x = np.stack([held.column(c).to_numpy().astype(float) for c in FEATURES], 1)
+        sums = boosting.local_sums(x, held.column("y").to_numpy(), held.column("n").to_numpy(), cuts)
+    else:
+        sums = boosting.spread_sums(own, "y", "n", cuts)
+    model = boosting.boost(sums, cuts, mean, ROUNDS)
+    levels = other.groupBy("generator", F.floor(model.score(F.col) / F.lit(LEVEL)).alias("level"), "y", "open").agg(F.sum("n").alias("n")).orderBy("generator", "level", "y", "open").toArrow()
+    generator, level, y, open_, n = (levels.column(c).to_numpy() for c in ("generator", "level", "y", "open", "n"))
+    score = 1 / (1 + np.exp(-level * LEVEL))
+    found = {}
     for g in range(len(GENERATORS)):
-        own = ~half & (x[:, FEATURES.index("generator")] == g)
-        if y[own].sum() >= LEAST_EACH:
-            cut = min(max(expected_cut(score[own], y[own], open_[own], precision), 1e-9), 1 - 1e-9)
-            cuts[g] = float(np.log(cut / (1 - cut))) - 1e-9
-    return model, cuts
+        at = generator == g
+        if n[at & (y == 1)].sum() >= LEAST_EACH:
+            cut = min(max(expected_cut(score[at], y[at], open_[at] == 1, precision, n[at]), 1e-9), 1 - 1e-9)
+            found[g] = float(np.log(cut / (1 - cut))) - 1e-9
+    return model, found
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """(id, email, ip, card, phone, model) of each row of ``docs``: arrays of spans (s, e), in code points, by start.
 
-    Null text counts as empty. ``sample`` bounds the candidates that train the trees (about that many are taken by
-    hash, half of them held out); with too few positive or other ones none is reported as ``model``, and likewise for
-    a generator with too few positive ones. Repeated rows and ids are treated alike, texts of any length are read
+    Null text counts as empty. All candidates train the trees or, as the half held out, set the thresholds; with too few
+    positive or other ones none is reported as ``model``, and likewise for a generator with too few positive ones. Repeated rows and ids are treated alike, texts of any length are read
     whole, other columns aren't read. Empty table: empty result.
     """
     text = docs.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).alias("t"))
@@ -190,12 +222,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     one = one.select(
         *[F.col("c")[f].alias(f) for f in FEATURES], touches(F.col("c"), F.col("base")).alias("hit"), F.col("c.check").alias("check"), F.xxhash64("id", "c.s", "c.e", "c.generator").alias("h")
     )
-    n = found.agg(F.sum(F.size("cands"))).first()[0] or 0
-    share = min(1.0, sample / max(n, 1))
     labels = [(F.col("hit") | (F.col("check") == PASSED)).cast("int").alias("y"), (~F.col("hit") & (F.col("check") != FAILED)).cast("int").alias("open")]
-    rows = one.filter(F.pmod("h", F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select(*FEATURES, *labels, F.pmod(F.shiftright("h", 32), F.lit(2)).alias("half")).limit(2 * sample).collect()
-    rows.sort()
-    fitted = train(rows, precision)
+    fitted = train(one.select(*FEATURES, *labels, F.pmod(F.shiftright("h", 32), F.lit(2)).cast("int").alias("half")), precision)
     if fitted is None or not fitted[1]:
         model = F.array().cast("array<struct<s:int,e:int>>")
     else:

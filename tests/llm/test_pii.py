@@ -102,3 +102,21 @@ def test_the_cut_is_where_the_expected_precision_falls_short():
     assert pii.expected_cut(score, y, y == 0, 0.85) == pytest.approx(0.4)
     assert pii.expected_cut(score, y, y > 1, 0.9) == 0.45
     assert pii.expected_cut(np.array([0.5, 0.2]), np.array([1, 0]), np.array([False, True]), 0.1) == 0.05
+
+
+def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
+    """Candidates alike are counted, all of them, and the trees are the same wherever their sums are made."""
+    calls = []
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    for name in ("local_sums", "spread_sums"):
+        made = getattr(boosting, name)
+        monkeypatch.setattr(boosting, name, lambda *a, made=made, name=name: calls.append((name, a)) or made(*a))
+    of = lambda c: F.lit(0) if c in pii.CONTEXTS or c == "has_paren" else F.pmod(F.hash("id", F.lit(c)), F.lit(7))
+    one = spark.range(60_000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(0).alias("generator"), *[of(c).cast("int").alias(c) for c in pii.FEATURES[1:]])
+    y = ((F.col("n_digits") > 3) & (F.col("n_chars") > 1)).cast("int")
+    one = one.select(*pii.FEATURES, y.alias("y"), (1 - y).alias("open"), (F.col("id") % 2).cast("int").alias("half"))
+    local = pii.train(one)
+    assert calls[0][1][2].sum() == 30_000  # over the 20,000 that were taken before, half of them for training
+    monkeypatch.setattr(pii, "DRIVER_ROWS", 0)
+    assert pii.train(one) == local and [c[0] for c in calls] == ["local_sums", "spread_sums"]
+    assert set(local[1]) == {0, 1}
