@@ -59,12 +59,15 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     else:
         texts = [b" ".join(x) for x in zip(*[words[i:] for i in range(shingle)])]
     digest = xxhash.xxh64_intdigest
+    return fingerprint_of(np.fromiter((digest(t, SEED) for t in texts), np.uint64, len(texts)))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(texts), 1 << 16):
-        part = texts[at : at + (1 << 16)]
-        h = np.fromiter((digest(t, SEED) for t in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(texts), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -432,9 +435,9 @@ def _possible(least: float):
 
 
 def _describe(words: int):
-    """Of each text (node, digest of its set, its size, sketch and least hashes); and (token, n) of the shingles that several texts of
+    """Of each text (node, digest of its set, its fingerprint, size, sketch and least hashes); and (token, n) of the shingles that several texts of
     a chunk have."""
-    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("least", pa.list_(pa.int64())), ("token", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("least", pa.list_(pa.int64())), ("token", pa.int64()), ("n", pa.int64())])
 
     def rows(many: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(many, f.type) for f in schema], schema=schema)
@@ -449,10 +452,11 @@ def _describe(words: int):
             return rows(int((n > 1).sum()), token=pa.array(token[n > 1].view(np.int64)), n=pa.array(n[n > 1]))
 
         for b in it:
-            digests, sizes, sketches, least = [], [], [], []
+            digests, fps, sizes, sketches, least = [], [], [], [], []
             for x in b.column(1):
                 s = shingle_hashes(x.as_py(), words)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                fps.append(signed(fingerprint_of(s)))
                 sizes.append(len(s))
                 sketches.append(sketch(s))
                 least.append(s[:STARS].view(np.int64))
@@ -461,7 +465,7 @@ def _describe(words: int):
                 if size >= CHUNK:
                     yield common_ones()
                     size = 0
-            yield rows(b.num_rows, node=b.column(0), digest=pa.array(digests, pa.binary()), size=pa.array(sizes, pa.int64()), sketch=pa.array(sketches, pa.binary()), least=pa.array(least, pa.list_(pa.int64())))
+            yield rows(b.num_rows, node=b.column(0), digest=pa.array(digests, pa.binary()), fp=pa.array(fps, pa.int64()), size=pa.array(sizes, pa.int64()), sketch=pa.array(sketches, pa.binary()), least=pa.array(least, pa.list_(pa.int64())))
         yield common_ones()
 
     return batches
@@ -631,20 +635,39 @@ def _pairs(least: float):
     return _by_token(work)
 
 
+def fingerprint_links(texts: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Pairs of texts (a, b), a below b, that join all whose fingerprints link: each with the first of its fingerprint,
+    and the first ones of linked fingerprints. ``texts``: (node, fp), nodes distinct, written to stay as they are."""
+    by_fp = common.materialize(texts.groupBy("fp").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("docs")), "by_fp")
+    n, total = by_fp.agg(F.count(F.lit(1)), F.sum("docs")).first()
+    same = common.lookup_join(texts, by_fp, ["fp"], "docs", total or 0).filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    close = common.materialize(links(by_fp.select("fp"), n, radius, block).distinct(), "links")
+    many = close.count()
+
+    def ends(facts: DataFrame, side: str) -> DataFrame:  # a dense group's links share an end
+        table = close.groupBy(side).agg(F.count(F.lit(1)).alias("uses")).join(by_fp.select(F.col("fp").alias(side), F.col("centre").alias(f"node_{side}")), side)
+        return common.lookup_join(facts, table, [side], "uses", many)
+
+    pairs = ends(ends(close, "a"), "b")
+    return same.unionAll(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+
+
 def similar_rows(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(node, root) of the nodes that aren't the smallest of their group, and that smallest node. ``rows``: (node long,
     raw binary), written to stay as they are, nodes distinct and not null. Groups are joined by all pairs whose sets of
     ``words``-word shingles have a Jaccard similarity of at least ``similarity`` (above 0).
 
-    Candidates are complete by prefix filtering: in any common order of the shingles, two sets so similar share one
-    among the first of each. Rare ones come first, which bears on the cost only. Texts with equal sets are one. Pairs
-    inside a group that is known aren't compared."""
+    Groups are those of SimHash first: fingerprints of the sets, linked by the generalised pigeonhole, each link between
+    texts verified. Two sets so similar may yet have fingerprints further apart than ``RADIUS``, or a link of a dense
+    group may stand for others; an exact way for these follows, between texts that aren't in one group so far. Its
+    candidates are complete by prefix filtering: in any common order of the shingles, two sets so similar share one
+    among the first of each. Rare ones come first, which bears on the cost only. Texts with equal sets are one."""
     spark = rows.sparkSession
-    described = common.materialize(rows.mapInArrow(_describe(words), "node long, digest binary, size long, sketch binary, least array<long>, token long, n long"), "described")
+    described = common.materialize(rows.mapInArrow(_describe(words), "node long, digest binary, fp long, size long, sketch binary, least array<long>, token long, n long"), "described")
     sets = described.filter("node IS NOT NULL")
     by_set = common.materialize(sets.groupBy("digest").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("docs")), "by_set")
     total = by_set.agg(F.sum("docs")).first()[0] or 0
-    own = common.materialize(common.lookup_join(sets.select("node", "digest", "least"), by_set, ["digest"], "docs", total).select("node", "rep", "least"), "own")
+    own = common.materialize(common.lookup_join(sets.select("node", "digest", "fp", "least"), by_set, ["digest"], "docs", total).select("node", "rep", "fp", "least"), "own")
     same = own.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     reps = own.filter("node = rep")
     hot = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(MOST_ORDERED).toArrow()
@@ -666,11 +689,12 @@ def similar_rows(rows: DataFrame, words: int = WORDS, similarity: float = SIMILA
         both = edges.join(side("a"), F.col("a") == F.col("na")).join(side("b"), F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
         return common.materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "verified", release=True)
 
-    # first each text with the first one that shares a least hash: inside the groups so made no pairs are needed
+    # SimHash's links, and each text with the first one that shares a least hash: inside the groups so made no pairs are needed
+    linked_ = fingerprint_links(reps.select("node", "fp"), block=block)
     least = reps.select("node", F.explode("least").alias("token"))
     stars = common.materialize(least.groupBy("token").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"), "stars")
     stars = common.lookup_join(least, stars, ["token"], "docs", stars.agg(F.sum("docs")).first()[0] or 0).filter("centre < node")
-    close = verified(possible(stars.select(F.col("centre").alias("a"), F.col("node").alias("b"))))
+    close = verified(possible(linked_.unionAll(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))))
     packed = rows.mapInArrow(_prefixes(words, shared, similarity), "node long, size long, firsts binary").join(reps.select(F.col("node").alias("own")), F.col("node") == F.col("own"), "left_semi")
     roots = components(close).withColumnRenamed("node", "member")
     labelled = common.materialize(packed.join(roots, F.col("node") == F.col("member"), "left").select("node", "size", "firsts", F.coalesce("root", "node").alias("label")), "prefixes", release=True)
@@ -715,7 +739,7 @@ def query(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: of each group of near-duplicates the row with the smallest id stays. Near are documents whose
-    shingles of five words have a similarity of 0.8 or more. Groups are of rows, not of ids; nulls and long texts are as
+    shingles of five words have a similarity of 0.8 or more; SimHash finds the groups, an exact way what it can't see. Groups are of rows, not of ids; nulls and long texts are as
     in ``similar_groups``. Columns of any name pass as they are."""
     node = common.fresh_name(docs.columns, "node")
     rows = common.materialize(docs.select(F.monotonically_increasing_id().alias(node), *docs.columns), "documents")

@@ -206,3 +206,33 @@ def test_pairs_are_told_at_the_first_shared_shingle():
     a, b = pad([[5, 7, 9], [5, 7], [3], [], [1, 2]]), pad([[6, 7, 9], [7], [4], [], [2]])
     assert simhash.seen_before(np.array([7, 7, 8, 8, 9]), a, b).tolist() == [False, False, False, False, True]
     assert simhash.seen_before(np.array([9]), a[:1], b[:1]).tolist() == [True]
+
+
+def test_links_of_fingerprints_join_texts(spark):
+    rng = random.Random(3)
+    fps = clustered(21, 160)
+    rows = [(i, rng.choice(fps)) for i in range(300)]
+    texts = spark.createDataFrame([(i, simhash.signed(f)) for i, f in rows], "node long, fp long")
+    pairs = [(r.a, r.b) for r in simhash.fingerprint_links(texts).collect()]
+    assert all(a < b for a, b in pairs)
+    fp = dict(rows)
+    near = lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3
+    assert all(near(a, b) for a, b in pairs)
+    joined = brute_groups(sorted(fp), lambda a, b: (a, b) in set(pairs))
+    assert sorted(map(sorted, joined)) == sorted(map(sorted, brute_groups(sorted(fp), near)))
+
+
+def test_similar_groups_come_from_fingerprints_first(spark, monkeypatch):
+    """Near copies are joined by their fingerprints' links alone, without least hashes and without the exact way for the rest."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        rows += [(10 * g + k, " ".join(base[:-1] + [f"end{k}"])) for k in range(3)]
+    close = [{10 * g + k for k in range(3)} for g in range(30)]
+    fps = {i: simhash.fingerprint_of(simhash.shingle_hashes(t.encode())) for i, t in rows}
+    want = {i: min(g) for g in brute_groups(sorted(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3) for i in g if i != min(g)}
+    assert len(want) > 40 and all({i, j} <= next(c for c in close if i in c) for i, j in want.items())
+    monkeypatch.setattr(simhash, "STARS", 0)
+    monkeypatch.setattr(simhash, "overlapping", lambda *a: iter(()))
+    assert similar_ids(spark, rows) == want
